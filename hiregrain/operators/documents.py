@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.functions import pandas_udf
 
 from hiregrain.functions import text as T
@@ -102,7 +103,7 @@ def chunks(max_words: int = MAX_WORDS, overlap: int = OVERLAP_WORDS, max_chunks:
             return [text]
         return [f"{header}{DESCRIPTION}{w}" for w in pack_sentences(description, max_words, overlap)[:max_chunks]]
 
-    @pandas_udf("array<string>")
+    @pandas_udf(S.ArrayType(S.StringType()))
     def split_arrow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(split, na_action="ignore")

@@ -37,11 +37,6 @@ def resolve(claims: DataFrame, known: DataFrame, name: str = "name") -> DataFram
     return keyed.join(known, "key", "left")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def claimed_skills(postings: DataFrame, job: str, evidence: str) -> DataFrame:
     """One row per claimed skill with ``mentioned``: is its own spelling in the evidence text.
 
@@ -58,7 +53,7 @@ def claimed_skills(postings: DataFrame, job: str, evidence: str) -> DataFrame:
     listed = F.concat(claims("required_skills", "required", 0), claims("preferred_skills", "preferred", 1))
     kept = F.filter(listed, lambda c: (c["name"] != "") & (F.length(c["name"]) <= T.MAX_SKILL_CHARS))
     folded = F.coalesce(T.casefold(T.collapse(evidence)), F.lit(""))
-    tested = let(
+    tested = T.let(
         folded,
         lambda text: F.transform(
             kept,
@@ -194,13 +189,13 @@ def named_anywhere(texts: DataFrame, phrases: DataFrame, doc: str, text: str, ph
         "phrase", F.when(F.size("_w") > 0, F.array_join("_w", " ")).otherwise(F.substring("folded", 1, 1)).alias("gram"),
         F.size("_w").alias("len"),
     )
-    longest = catalog.agg(F.coalesce(F.max("len"), F.lit(0)).alias("m")).scalar()
+    longest = catalog.agg(F.greatest(F.coalesce(F.max("len"), F.lit(1)), F.lit(1)).alias("m")).scalar()
     run = T.words(T.collapse(text))
-    grams = let(
+    grams = T.let(
         run,
         lambda w: F.flatten(
             F.transform(
-                F.sequence(F.lit(1), F.greatest(longest, F.lit(1))),
+                F.sequence(F.lit(1), F.col("_longest")),
                 lambda n: F.when(
                     F.size(w) >= n,
                     F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")),
@@ -209,7 +204,7 @@ def named_anywhere(texts: DataFrame, phrases: DataFrame, doc: str, text: str, ph
         ),
     )
     marks = F.regexp_extract_all(T.casefold(text), F.lit(rf"[^{T.WORD}\s]"), F.lit(0))
-    keyed = texts.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(F.concat(grams, marks))).alias("gram"))
+    keyed = texts.withColumn("_longest", longest).select(F.col(doc).alias("doc"), F.explode(F.array_distinct(F.concat(grams, marks))).alias("gram"))
     hits = keyed.join(catalog.select("phrase", "gram"), "gram").select("doc", "phrase").distinct()
     return (
         hits.join(texts.select(F.col(doc).alias("doc"), F.col(text).alias("_text")), "doc")
