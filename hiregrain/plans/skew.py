@@ -94,7 +94,7 @@ def order_statistics(
     """
     rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     shares = [max(0.0, share - SKETCH_MARGIN), min(1.0, share + SKETCH_MARGIN)]
-    pivots = F.percentile_approx("_v", [F.lit(s) for s in shares], F.lit(SKETCH_ACCURACY))
+    pivots = F.percentile_approx("_v", shares, SKETCH_ACCURACY)
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), pivots.alias("_p")
     )
