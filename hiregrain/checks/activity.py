@@ -39,7 +39,7 @@ def conversation_summaries(t):
 
 
 def calls_of(t):
-    return t.events.select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), F.unix_micros("ts").alias("at"))
+    return t.events.select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"))
 
 
 # Two calls in any window: the next admitted call follows the last one and is a window after the one before it.

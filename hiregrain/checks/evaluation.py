@@ -121,8 +121,8 @@ def review_sheet(t):
     return E.review_sheet(E.sample_pairs(pairs, 20, 3), queries, t.documents)
 
 
-@check(f"""WITH {RUN}, review AS (SELECT query_id, doc_id, grade, doc_id % 3 AS human FROM runs WHERE query_id % 5 <> 0), both AS (SELECT * FROM review WHERE doc_id % 13 <> 0),
-s AS (SELECT 'exact_0_1_2' AS scale, grade AS a, human AS b FROM both UNION ALL SELECT 'binary_grade_ge_1', (grade >= 1)::INT, (human >= 1)::INT FROM both UNION ALL SELECT 'binary_grade_ge_2', (grade >= 2)::INT, (human >= 2)::INT FROM both),
+@check(f"""WITH {RUN}, review AS (SELECT query_id, doc_id, grade, doc_id % 3 AS human FROM runs WHERE query_id % 5 <> 0), paired AS (SELECT * FROM review WHERE doc_id % 13 <> 0),
+s AS (SELECT 'exact_0_1_2' AS scale, grade AS a, human AS b FROM paired UNION ALL SELECT 'binary_grade_ge_1', (grade >= 1)::INT, (human >= 1)::INT FROM paired UNION ALL SELECT 'binary_grade_ge_2', (grade >= 2)::INT, (human >= 2)::INT FROM paired),
 n AS (SELECT scale, count(*) AS pairs, avg((a = b)::INT) AS observed FROM s GROUP BY 1),
 ma AS (SELECT scale, a AS label, count(*) AS x FROM s GROUP BY 1, 2), mb AS (SELECT scale, b AS label, count(*) AS y FROM s GROUP BY 1, 2),
 e AS (SELECT scale, sum(x * y) AS xy FROM ma JOIN mb USING (scale, label) GROUP BY 1)

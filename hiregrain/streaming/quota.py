@@ -52,7 +52,7 @@ def stream_quota(calls: DataFrame, per_window: int, window_seconds: int = WINDOW
                  "admitted": [w is None for w in waits], "wait": pd.array(waits, dtype="Int32")}
             )
 
-    micros = calls.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    micros = calls.withWatermark("ts", delay).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     state_type = S.StructType.fromDDL("times array<long>, ids array<long>, admitted array<long>")
     output = S.StructType.fromDDL(f"client {kind}, call_id long, at long, admitted boolean, wait int")
     return micros.groupBy("client").applyInPandasWithState(step, output, state_type, "append", GroupStateTimeout.EventTimeTimeout)
