@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hiregrain.functions import text as T
 from hiregrain.plans.blocks import fits
 from hiregrain.plans.skew import top_per_key
+from hiregrain.session import materialize
 
 K1, B = 1.5, 0.75
 SCORE_DECIMALS = 9
@@ -23,7 +24,8 @@ def corpus_statistics(docs: DataFrame, tokenizer=T.tokens) -> DataFrame:
 def document_frequency(docs: DataFrame, tokenizer=T.tokens) -> DataFrame:
     """``(token, df)``. Tokens are made distinct inside the document's row, so no (token, document) shuffle."""
     return (
-        docs.select(F.explode(F.array_distinct(tokenizer("text"))).alias("token"))
+        docs.select(F.explode_outer(F.array_distinct(tokenizer("text"))).alias("token"))
+        .where("token is not null")
         .groupBy("token")
         .agg(F.count("*").alias("df"))
     )
@@ -31,7 +33,8 @@ def document_frequency(docs: DataFrame, tokenizer=T.tokens) -> DataFrame:
 
 def query_terms(queries: DataFrame, tokenizer=T.tokens) -> DataFrame:
     return (
-        queries.select("query_id", F.explode(tokenizer("text")).alias("token"))
+        queries.select("query_id", F.explode_outer(tokenizer("text")).alias("token"))
+        .where("token is not null")
         .groupBy("query_id", "token")
         .agg(F.count("*").alias("qf"))
     )
@@ -41,25 +44,25 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
     """``(query_id, doc_id, score)`` of every document sharing a token with a query.
 
     The corpus is tokenized once and only tokens that some query uses leave the scan. They are placed
-    by document, so term counts and the sum over a query's terms need no further shuffle; corpus
-    statistics come from the same exchange through one extra token per document. The joins ship the
-    query side, after its size was checked; beyond that they are ordinary shuffle joins.
+    by document and counted into a term table that is written out; the term table keeps its placement,
+    so the sum over a query's terms needs no further shuffle. Corpus statistics come from the same
+    table through one extra token per document. The joins ship the query side, after its size was
+    checked; beyond that they are ordinary shuffle joins.
     """
-    bounded = fits(queries, "text")
-    ship = F.broadcast if bounded else (lambda df: df)
+    ship = F.broadcast if fits(queries, "text") else (lambda df: df)
     terms = query_terms(queries, tokenizer)
-    vocabulary = terms.select("token").unionByName(
-        queries.limit(1).select(F.lit(DOCUMENT).alias("token"))
-    ).distinct()
+    marker = queries.limit(1).select(F.lit(DOCUMENT).alias("token"))
+    vocabulary = terms.select("token").unionByName(marker).distinct()
+    # explode_outer, because plain explode infers a filter that would tokenize every text again;
+    # the array always holds the marker.
     placed = (
         docs.select("doc_id", tokenizer("text").alias("_t"))
         .select("doc_id", F.size("_t").alias("dl"), F.array_append("_t", DOCUMENT).alias("_t"))
-        .select("doc_id", "dl", F.explode("_t").alias("token"))
+        .select("doc_id", "dl", F.explode_outer("_t").alias("token"))
         .join(ship(vocabulary), "token", "left_semi")
         .repartition("doc_id")
     )
-    # dl is a grouping key so that both uses of the exchange ask for the same columns and share it.
-    frequencies = placed.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
+    frequencies = materialize(placed.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")))
     by_token = frequencies.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("_len"))
     document = F.col("token") == DOCUMENT
     corpus = by_token.agg(

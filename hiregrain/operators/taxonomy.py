@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hiregrain.functions import text as T
 from hiregrain.operators.ingest import assign_ids
 from hiregrain.plans.skew import first_per_key
+from hiregrain.session import materialize
 
 EXTRACTED, CURATED = "extracted", "curated"
 
@@ -60,7 +61,9 @@ def claimed_skills(postings: DataFrame, job: str, evidence: str) -> DataFrame:
             lambda c: F.struct(c.alias("c"), F.regexp_like(text, T.phrase_pattern(T.casefold(c["name"]))).alias("mentioned")),
         ),
     )
-    return postings.select(F.col(job).alias("job_id"), F.explode(tested).alias("_t")).select("job_id", "_t.c.*", "_t.mentioned")
+    return postings.select(F.col(job).alias("job_id"), F.explode_outer(tested).alias("_t")).where("_t is not null").select(
+        "job_id", "_t.c.*", "_t.mentioned"
+    )
 
 
 @dataclass
@@ -84,7 +87,7 @@ def normalize_skills(
     Names without a skill become extracted skills when they are short and mentioned; the first
     spelling in record order is canonical. In strict mode they are only reported.
     """
-    claims = claimed_skills(postings, job, evidence)
+    claims = materialize(claimed_skills(postings, job, evidence))
     known = lookup(skills, aliases)
     found = resolve(claims, known)
     candidates = found.where(F.col("skill_id").isNull() & F.col("mentioned") & short_enough())
@@ -204,7 +207,7 @@ def named_anywhere(texts: DataFrame, phrases: DataFrame, doc: str, text: str, ph
         ),
     )
     marks = F.regexp_extract_all(T.casefold(text), F.lit(rf"[^{T.WORD}\s]"), F.lit(0))
-    keyed = texts.withColumn("_longest", longest).select(F.col(doc).alias("doc"), F.explode(F.array_distinct(F.concat(grams, marks))).alias("gram"))
+    keyed = texts.withColumn("_longest", longest).select(F.col(doc).alias("doc"), F.explode_outer(F.array_distinct(F.concat(grams, marks))).alias("gram"))
     hits = keyed.join(catalog.select("phrase", "gram"), "gram").select("doc", "phrase").distinct()
     return (
         hits.join(texts.select(F.col(doc).alias("doc"), F.col(text).alias("_text")), "doc")
