@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hiregrain.sources.files import read_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXTS = {"documents", "pages"}  # tables whose rows are costly to work on
+
+
 class Tables:
     """The given parquet tables, and the same data in the roles of a job market."""
 
@@ -18,7 +23,7 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = read_table(self.spark, f"{self.folder}/{name}.parquet", spread=name in TEXTS)
         setattr(self, name, table)
         return table
 

@@ -175,30 +175,31 @@ def market_skills(job_skills: DataFrame) -> DataFrame:
     return job_skills.select("skill_id").distinct()
 
 
+def pieces(folded: Column) -> Column:
+    """Words and single marks of a text, in order."""
+    return F.regexp_extract_all(folded, F.lit(rf"[{T.WORD}]+|[^{T.WORD}\s]"), F.lit(0))
+
+
 def named_anywhere(texts: DataFrame, phrases: DataFrame, doc: str, text: str, phrase: str) -> DataFrame:
     """``(doc, phrase)`` for every whole-word mention of a catalog phrase in a text.
 
-    Word n-grams of the text meet the phrase's words in an equi-join, then the literal test decides.
-    A phrase without word characters is met through its first character.
+    A mention implies that the phrase's words and marks follow each other in the text, so runs of the
+    lengths that occur in the catalog meet the phrases in an equi-join; then the literal test decides.
     """
-    folded_phrase = T.casefold(T.collapse(phrase))
-    parts = F.regexp_extract_all(folded_phrase, F.lit(f"[{T.WORD}]+"), F.lit(0))
     catalog = (
-        phrases.select(F.col(phrase).alias("phrase"), folded_phrase.alias("folded"), parts.alias("_w"))
+        phrases.select(F.col(phrase).alias("phrase"), T.casefold(T.collapse(phrase)).alias("folded"))
         .where("folded <> ''")
         .distinct()
+        .withColumn("_p", pieces(F.col("folded")))
+        .select("phrase", "folded", F.array_join("_p", " ").alias("gram"), F.size("_p").alias("len"))
     )
-    catalog = catalog.select(
-        "phrase", F.when(F.size("_w") > 0, F.array_join("_w", " ")).otherwise(F.substring("folded", 1, 1)).alias("gram"),
-        F.size("_w").alias("len"),
-    )
-    longest = catalog.agg(F.greatest(F.coalesce(F.max("len"), F.lit(1)), F.lit(1)).alias("m")).scalar()
-    run = T.words(T.collapse(text))
-    grams = T.let(
-        run,
+    lengths = catalog.agg(F.array_sort(F.collect_set("len")).alias("l")).scalar()
+    folded = texts.select(F.col(doc).alias("doc"), F.coalesce(T.casefold(T.collapse(text)), F.lit("")).alias("_text"))
+    runs = T.let(
+        pieces(F.col("_text")),
         lambda w: F.flatten(
             F.transform(
-                F.sequence(F.lit(1), F.col("_longest")),
+                F.col("_lengths"),
                 lambda n: F.when(
                     F.size(w) >= n,
                     F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")),
@@ -206,11 +207,10 @@ def named_anywhere(texts: DataFrame, phrases: DataFrame, doc: str, text: str, ph
             )
         ),
     )
-    marks = F.regexp_extract_all(T.casefold(text), F.lit(rf"[^{T.WORD}\s]"), F.lit(0))
-    keyed = texts.withColumn("_longest", longest).select(F.col(doc).alias("doc"), F.explode_outer(F.array_distinct(F.concat(grams, marks))).alias("gram"))
-    hits = keyed.join(catalog.select("phrase", "gram"), "gram").select("doc", "phrase").distinct()
+    keyed = folded.withColumn("_lengths", lengths).select("doc", F.explode_outer(F.array_distinct(runs)).alias("gram"))
+    hits = keyed.join(catalog.select("phrase", "folded", "gram"), "gram").select("doc", "phrase", "folded")
     return (
-        hits.join(texts.select(F.col(doc).alias("doc"), F.col(text).alias("_text")), "doc")
-        .where(T.mentions("_text", "phrase"))
+        hits.join(folded, "doc")
+        .where(F.regexp_like("_text", T.phrase_pattern(F.col("folded"))))
         .select(F.col("doc").alias(doc), F.col("phrase").alias(phrase))
     )

@@ -107,6 +107,14 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(*[plain(f) for f in report.schema]).write.mode("overwrite").json(path)
 
 
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A parquet table. With ``spread``, one that arrives in fewer splits than there are cores (a single
+    small file) is dealt out over all cores; a table of many splits is read as it lies."""
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if spread and table.rdd.getNumPartitions() < cores else table
+
+
 def write_version(df: DataFrame, folder: str, version: int) -> str:
     """Write a table version next to the older ones; a table is never overwritten while it is read."""
     target = f"{folder}/version={version}"
