@@ -38,7 +38,7 @@ def test_quota_golden(spark):
 
 def test_streaming_quota_equals_batch(spark, tmp_path):
     rnd = random.Random(6)
-    calls = [(f"c{rnd.randrange(3)}", i, rnd.randrange(600)) for i in range(200)] + [("flush", 999, 100_000)]
+    calls = [(f"c{rnd.randrange(3)}", i, 1000 + rnd.randrange(600)) for i in range(200)] + [("flush", 999, 100_000)]
     rows = spark.createDataFrame(calls, "client string, call_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
     for part in range(2):
         rows.where(F.col("call_id") % 2 == part).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
