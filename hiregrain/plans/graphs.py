@@ -11,25 +11,26 @@ from hiregrain.session import materialize
 def components(members: DataFrame, node: str = "node", key: str = "key") -> DataFrame:
     """Connected components of nodes that share keys: ``(node, component)``, the smallest node id.
 
-    The smallest label travels node -> key -> node; following the label of the label roughly halves
-    the remaining distance each round. Nodes are never paired with each other: a key with many
-    nodes costs one pre-aggregated minimum.
+    Groups are contracted: every group adopts the smallest group seen over its keys, pointers are
+    followed a few steps, and only keys that still touch two groups stay for the next round, so the
+    work shrinks quickly. Nodes are never paired with each other: a key with many nodes costs one
+    pre-aggregated minimum.
     """
-    links = materialize(members.select(F.col(node).alias("node"), F.col(key).alias("key")).distinct())
-    labels = materialize(links.select("node", F.col("node").alias("label")).distinct())
+    links = members.select(F.col(node).alias("label"), F.col(key).alias("key")).distinct()
+    pairs = materialize(links)
+    labels = pairs.select(F.col("label").alias("node"), "label").distinct()
     while True:
-        by_key = links.join(labels, "node").groupBy("key").agg(F.min("label").alias("label"))
-        best = links.join(by_key, "key").groupBy("node").agg(F.min("label").alias("best"))
-        parents = labels.select(F.col("node").alias("best"), F.col("label").alias("jump"))
-        step = (
-            labels.join(best, "node")
-            .join(parents, "best")
-            .select("node", F.least("best", "jump").alias("label"), F.col("label").alias("old"))
-        )
-        step = materialize(step)
-        labels = step.select("node", "label")
-        if step.where(F.col("label") != F.col("old")).isEmpty():
+        shared = pairs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        open_pairs = materialize(pairs.join(shared.select("key", "low"), "key"))
+        if open_pairs.isEmpty():
             return labels.select(F.col("node").alias(node), F.col("label").alias("component"))
+        up = materialize(open_pairs.groupBy("label").agg(F.min("low").alias("up")))
+        for _ in range(2):
+            further = up.select(F.col("label").alias("up"), F.col("up").alias("next"))
+            up = up.join(further, "up", "left").select("label", F.coalesce("next", "up").alias("up"))
+        up = materialize(up)
+        labels = materialize(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        pairs = open_pairs.join(up, "label").select(F.col("up").alias("label"), "key").distinct()
 
 
 def keep_first_on_both(rows: DataFrame, order: str, first: str, second: str) -> DataFrame:
