@@ -3,12 +3,16 @@
 A document's fingerprint has a bit set where over half of its shingles' hashes have it. Fingerprints within ``max_bits``
 differing bits are linked, and the connected groups are the answer.
 
-Links are found with an inverted index over byte positions. Two linked fingerprints of eight bytes differ in at most
-``max_bits`` bytes, so at least ``8 - max_bits`` positional bytes agree: the guaranteed minimum. A posting list per single
-byte would hold 1/256 of all fingerprints, so postings are keyed by several positions together, chosen such that any
-guaranteed set of agreeing positions contains one of the choices whole. Within a list the agreeing bytes of each pair
-are tallied, pairs below the minimum go, and the others are verified bit by bit. A list is worked on in blocks of fixed
-size and only gives a spanning forest of its links, never all its pairs.
+Links are found with an inverted index over byte positions. Two linked fingerprints differ in at most ``max_bits`` bytes, so
+a minimum of positional bytes is sure to agree. A posting list per single byte would hold 1/256 of all fingerprints, so
+postings are keyed by several positions together, chosen such that any guaranteed set of agreeing positions contains one
+of the choices whole. Within a list the agreeing bytes of each pair are tallied, pairs below the minimum go, and the
+others are verified bit by bit. A list is worked on in blocks of fixed size and gives a spanning forest of its links,
+never all its pairs.
+
+Eight bytes and few bits make the minimum certain (:func:`near_duplicates`). A shingle similarity of 0.8 turns over some
+15 % of all bits, where no number of agreeing bytes is certain; :func:`similar_documents` takes wide fingerprints and so
+many position sets that a linked pair is very likely to share one, and tells similarity by the share of differing bits.
 
 Defined results: texts without words (null, empty, white space) have fingerprint zero and are linked like any other;
 equal fingerprints are one node, however many documents hold it; a component's id is the smallest document id in it;
@@ -17,6 +21,8 @@ rows without an id get their component's id too (null if no member has one); ext
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -24,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiregrain.llm.common import map_texts
@@ -34,34 +40,52 @@ from hiregrain.session import materialize
 SEED = 42
 BYTES = 8
 BLOCK = 4_096  # fingerprints of one posting list that one task compares with as many others
-CHUNK = 1 << 16  # shingles hashed at a time
-
-
-def fingerprint(text: str | None, words_per_shingle: int) -> int:
-    """The unsigned 64-bit fingerprint of one whole text."""
+CHUNK = 1 << 15  # shingles hashed at a time
+WIDE = 64  # bytes of a wide fingerprint
+WIDE_SETS = 128
+KEY_BYTES = 3
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # fixed values: the splitmix64 constants
+
+
+def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Further 64 bits per shingle, mixed from its hash; lane 0 is the hash itself."""
+    if lane == 0:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes + _MIX[0] * np.uint64(lane)
+        x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words_per_shingle: int, width: int = BYTES) -> bytes:
+    """The fingerprint of one whole text, lowest bits first; ``width`` is a multiple of eight bytes."""
     line = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())  # bytes: A-Z and ASCII white space only
     if not line:
-        return 0
+        return bytes(width)
     starts = [0, *(m.end() for m in re.finditer(b" ", line))]
     ends = [*(s - 1 for s in starts[1:]), len(line)]
     count = max(1, len(starts) - words_per_shingle + 1)
     last = ends[words_per_shingle - 1 :] if len(starts) >= words_per_shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(8 * width, np.int64)
     for at in range(0, count, CHUNK):
         hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], last[at : at + CHUNK], strict=False)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
+        for lane in range(width // 8):
+            bits = np.unpackbits(_lane(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[64 * lane : 64 * lane + 64] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > count, bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_column: str, text: str, words_per_shingle: int) -> DataFrame:
-    """``(id, fingerprint)``, the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_column: str, text: str, words_per_shingle: int, width: int) -> DataFrame:
+    """``(id, node, bits)``: the fingerprint and its node, which is the fingerprint itself if it has eight bytes."""
 
     def work(texts: list, batch: pa.RecordBatch) -> dict:
-        made = np.array([fingerprint(x, words_per_shingle) for x in texts], dtype=np.uint64)
-        return {"fingerprint": pa.array(made.view(np.int64))}
+        made = [fingerprint(x, words_per_shingle, width) for x in texts]
+        nodes = [int.from_bytes(m, "little", signed=True) if width == BYTES else xxhash.xxh64_intdigest(m, SEED) - (1 << 63) for m in made]
+        return {"node": pa.array(nodes, pa.int64()), "bits": pa.array(made, pa.binary())}
 
-    return map_texts(docs.select(id_column, text), work, "fingerprint long", text)
+    return map_texts(docs.select(id_column, text), work, "node long, bits binary", text)
 
 
 def position_sets(agreeing: int, key_bytes: int) -> list[tuple[int, ...]]:
@@ -76,26 +100,62 @@ def position_sets(agreeing: int, key_bytes: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def _posting_keys(value: Column, sets: list[tuple[int, ...]]) -> Column:
-    """Key of every posting: the fingerprint with all but the chosen bytes zeroed, next to the number of the set."""
-    masks = [sum(0xFF << 8 * p for p in s) for s in sets]
-    return F.array(*[F.struct(F.lit(i).cast("byte").alias("_set"), value.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("_bytes")) for i, m in enumerate(masks)])
+def spread_sets(width: int, count: int, key_bytes: int) -> list[tuple[int, ...]]:
+    """``count`` different sets of positions, the same on every run, each position used about equally often."""
+    rng, chosen = random.Random(SEED), []
+    while len(chosen) < count:
+        order = rng.sample(range(width), width)
+        chosen += [t for i in range(0, width - key_bytes + 1, key_bytes) if (t := tuple(sorted(order[i : i + key_bytes]))) not in chosen]
+    return chosen[:count]
+
+
+def bits_for_similarity(similarity: float, width: int, slack: float = 0.5) -> int:
+    """Differing bits to expect of two sets of shingles with this Jaccard similarity, plus ``slack`` standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(8 * width * share + slack * math.sqrt(8 * width * share * (1 - share)))
+
+
+def agreeing_for_bits(max_bits: int, width: int, slack: float = 3.0) -> int:
+    """Positional bytes that agree if ``max_bits`` bits differ at random, less ``slack`` standard deviations."""
+    share = (1 - max_bits / (8 * width)) ** 8
+    return max(KEY_BYTES, int(width * share - slack * math.sqrt(width * share * (1 - share))))
+
+
+def _postings(values: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """``(key, node)`` for every set of positions; the key is the number of the set and the bytes there."""
+    places = np.array(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                bits = _matrix(part.column("bits"))
+                key = np.broadcast_to(np.arange(len(sets), dtype=np.int64), (len(bits), len(sets)))
+                for column in places.T:
+                    key = (key << 8) | bits[:, column]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), len(sets)))], names=["key", "node"])
+
+    return values.select("node", "bits").mapInArrow(run, "key long, node long")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 1), np.uint8)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, agreeing: int, max_bits: int) -> np.ndarray:
-    """Which pairs of ``a`` x ``b`` share ``agreeing`` positional bytes and differ in ``max_bits`` bits at most."""
-    differ = a[:, None] ^ b[None, :]
-    tally = np.zeros(differ.shape, np.int8)
-    for shift in range(0, 64, 8):
-        tally += (differ >> np.uint64(shift)) & np.uint64(0xFF) == 0
-    survive = tally >= agreeing
-    survive[survive] = np.bitwise_count(differ[survive]) <= max_bits
+    """Which pairs of rows of ``a`` x ``b`` share ``agreeing`` positional bytes and differ in ``max_bits`` bits at most."""
+    differ = a[:, None, :] ^ b[None, :, :]
+    survive = (differ == 0).sum(axis=2, dtype=np.int32) >= agreeing
+    left, right = np.nonzero(survive)
+    survive[left, right] = np.bitwise_count(differ[left, right]).sum(axis=1, dtype=np.int32) <= max_bits
     return survive
 
 
-def forest(values: np.ndarray, side: np.ndarray, agreeing: int, max_bits: int, slice_rows: int = 256) -> list[tuple[int, int]]:
-    """``(member, root)`` of every member of a linked group of one posting list; ``side`` 0 is compared with 1, or all with all."""
-    parent = np.arange(len(values))
+def forest(bits: np.ndarray, side: np.ndarray, agreeing: int, max_bits: int) -> list[tuple[int, int]]:
+    """``(member, root)``, as row numbers, of every linked group of one posting list; ``side`` 0 is compared with 1, or all with all."""
+    parent = np.arange(len(bits))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -103,86 +163,98 @@ def forest(values: np.ndarray, side: np.ndarray, agreeing: int, max_bits: int, s
             i = int(parent[i])
         return i
 
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(values)),) * 2
-    bits = values.view(np.uint64)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(bits)),) * 2
+    slice_rows = max(1, (1 << 23) // max(1, len(right) * bits.shape[1]))  # 8 MiB of differences at a time
     for start in range(0, len(left), slice_rows):
         rows = left[start : start + slice_rows]
         hit = linked_pairs(bits[rows], bits[right], agreeing, max_bits)
-        for i, row in enumerate(rows):
+        for i in np.flatnonzero(hit.sum(axis=1) > (right is left)):
             mates = right[hit[i]]
-            if len(mates) == 0:
-                continue
-            labels = np.unique(parent[mates])
-            top = min(root(int(row)), *(root(int(x)) for x in labels))
-            for x in labels:
-                parent[root(int(x))] = top
-            parent[root(int(row))] = top
+            tops = {root(int(rows[i])), *(root(int(x)) for x in np.unique(parent[mates]))}
+            top = min(tops)
+            parent[list(tops)] = top
             parent[mates] = top
-    roots = [root(i) for i in range(len(values))]
-    size = np.bincount(roots, minlength=len(values))
-    return [(int(values[i]), int(values[r])) for i, r in enumerate(roots) if size[r] > 1]
+    roots = [root(i) for i in range(len(bits))]
+    size = np.bincount(roots, minlength=len(bits))
+    return [(i, r) for i, r in enumerate(roots) if size[r] > 1]
 
 
-def _links(postings: DataFrame, agreeing: int, max_bits: int) -> DataFrame:
-    """Spanning links of every block pair: ``(node, key)``, the key being the smallest member's fingerprint."""
-    keys = ["_set", "_bytes", "_i", "_j"]
-    dealt = postings.repartition(*keys).sortWithinPartitions(*keys, "fingerprint")
+def _links(members: DataFrame, agreeing: int, max_bits: int) -> DataFrame:
+    """Spanning links of every pair of blocks: ``(node, key)``, the key being one member's node."""
+    keys = ["key", "_i", "_j"]
+    dealt = members.repartition(*keys).sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def work(rows: np.ndarray) -> pa.RecordBatch:
-            same = (rows[1:, :4] == rows[:-1, :4]).all(axis=1)
-            cuts = np.flatnonzero(~same) + 1
-            found = []
-            for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-                if b - a > 1:
-                    found += forest(np.ascontiguousarray(rows[a:b, 4]), rows[a:b, 5], agreeing, max_bits)
-            pairs = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
+        def work(table: pa.Table, head: np.ndarray) -> pa.RecordBatch:
+            bits, node, side = _matrix(table.column("bits").combine_chunks()), table.column("node").to_numpy(), table.column("_side").to_numpy()
+            cuts = [0, *(np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1).tolist(), len(head)]
+            found = {(int(node[a + i]), int(node[a + r])) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1 for i, r in forest(bits[a:b], side[a:b], agreeing, max_bits)}
+            pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node", "key"])
 
+        held: pa.Table | None = None
         for batch in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (batch.column(n) for n in [*keys, "fingerprint", "_side"])])
-            if held:
-                rows = np.concatenate([*held, rows])
-            if not len(rows):
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
                 continue
-            tail = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
-            cut = int(tail[-1]) + 1 if len(tail) else 0  # the last list may go on; it holds at most two blocks
+            head = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in keys])
+            other = np.flatnonzero((head != head[-1]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last list may go on; it holds at most two blocks
             if cut:
-                yield work(rows[:cut])
-            held = [rows[cut:]]
-        if held:
-            yield work(held[0])
+                yield work(table.slice(0, cut), head[:cut])
+            held = table.slice(cut)
+        if held is not None and held.num_rows:
+            yield work(held, np.zeros((held.num_rows, 1), np.int64))
 
     return dealt.mapInArrow(run, "node long, key long")
 
 
+def _grouped(docs: DataFrame, id_column: str, text: str, words_per_shingle: int, width: int, sets: list[tuple[int, ...]], agreeing: int, max_bits: int, block: int) -> DataFrame:
+    """``(id, node, component_id)`` of every row."""
+    marked = materialize(fingerprints(docs, id_column, text, words_per_shingle, width))
+    values = marked.groupBy("node").agg(F.min(id_column).alias("_first"), F.min("bits").alias("bits"))
+    if width > BYTES:  # small enough to be made anew where the fingerprint is the node
+        values = materialize(values)
+    postings = _postings(values, sets)
+    lists = postings.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    met = postings.join(lists, "key")  # Spark splits a long list's partition when it joins
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    met = met.select("key", "node", blocks.alias("_blocks")).withColumn("_own", own).join(values.select("node", "bits"), "node")
+
+    def pair(j):
+        return F.struct(F.least("_own", j).alias("_i"), F.greatest("_own", j).alias("_j"), (F.col("_own") > j).cast("int").alias("_side"))
+
+    dealt = met.select("key", "node", "bits", F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
+    links = _links(dealt, agreeing, max_bits).distinct()
+    groups = components(links)  # node, component
+    linked = values.select("node", "_first").join(groups, "node")
+    smallest = linked.groupBy("component").agg(F.min("_first").alias("component_id"))
+    named = materialize(linked.join(smallest, "component").select("node", "component_id"))
+    alone = values.select("node", "_first").join(named, "node", "left").select("node", F.coalesce("component_id", "_first").alias("component_id"))
+    return marked.select(id_column, "node").join(alone, "node").select(id_column, "node", "component_id")
+
+
 def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5, max_bits: int = 4, key_bytes: int = 3, block: int = BLOCK
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5, max_bits: int = 4, key_bytes: int = KEY_BYTES, block: int = BLOCK
 ) -> DataFrame:
-    """One row per document: the id, ``fingerprint`` (16 hex digits) and ``component_id``.
+    """One row per document: the id, ``fingerprint`` (16 hex digits) and ``component_id``; every link is found.
 
-    ``key_bytes`` is how many positions a posting's key holds: 3 give 20-odd postings a fingerprint and lists of
-    ``n / 2**24`` by chance, right up to about 10**9 different fingerprints; 4 give 70 and lists of ``n / 2**32``.
+    ``key_bytes`` is how many positions a posting's key holds: 3 give 23 postings a fingerprint (for 4 bits) and lists
+    of ``n / 2**24`` by chance, right up to about 10**9 different fingerprints; 4 give 70 and lists of ``n / 2**32``.
     """
     agreeing = BYTES - max_bits
     if not 1 <= key_bytes <= agreeing:
         raise ValueError("a key holds at most as many bytes as two linked fingerprints are sure to share")
-    marked = materialize(fingerprints(docs, id_column, text, words_per_shingle))
-    values = marked.groupBy("fingerprint").agg(F.min(id_column).alias("_first"))
-    sets = position_sets(agreeing, key_bytes)
-    postings = values.select("fingerprint", F.inline(_posting_keys(F.col("fingerprint"), sets)))
-    lists = postings.groupBy("_set", "_bytes").agg(F.count("*").alias("_n")).where("_n > 1")
-    met = postings.join(lists, ["_set", "_bytes"])
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint"), blocks).cast("int")
-    pair = lambda j: F.struct(F.least(F.col("_own"), j).alias("_i"), F.greatest(F.col("_own"), j).alias("_j"), (F.col("_own") > j).cast("int").alias("_side"))
-    met = met.withColumn("_own", own).withColumn("_blocks", blocks)
-    met = met.select("_set", "_bytes", "fingerprint", F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
-    links = _links(met, agreeing, max_bits).distinct()
-    groups = components(links)  # node, component
-    named = values.join(groups, values["fingerprint"] == groups["node"]).groupBy("component").agg(F.min("_first").alias("component_id"))
-    classes = groups.join(named, "component").select(F.col("node").alias("fingerprint"), F.col("component_id").alias("_linked"))
-    ids = values.join(classes, "fingerprint", "left").select("fingerprint", F.coalesce("_linked", "_first").alias("component_id"))
-    return marked.join(ids, "fingerprint").select(id_column, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    out = _grouped(docs, id_column, text, words_per_shingle, BYTES, position_sets(agreeing, key_bytes), agreeing, max_bits, block)
+    return out.select(id_column, F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_documents(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, width: int = WIDE, sets: int = WIDE_SETS, block: int = BLOCK
+) -> DataFrame:
+    """The id and ``component_id`` of every document; linked are documents whose wide fingerprints tell this similarity."""
+    max_bits = bits_for_similarity(similarity, width)
+    out = _grouped(docs, id_column, text, words_per_shingle, width, spread_sets(width, sets, KEY_BYTES), agreeing_for_bits(max_bits, width), max_bits, block)
+    return out.select(id_column, "component_id")
