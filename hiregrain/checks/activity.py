@@ -59,11 +59,22 @@ def quota_sliding(t):
     return Q.sliding_quota(calls_of(t), 2, 21_600).select("client", "call_id", "admitted")
 
 
-@check(f"""WITH RECURSIVE {HOUR}, d AS (SELECT call_id, ts, ts // 86400000000 AS day FROM admitted WHERE admitted)
-SELECT call_id, row_number() OVER (PARTITION BY day ORDER BY ts, call_id) <= 100 AS within_cap FROM d""")
+# The true rule call by call: the day's count first, then the client's last two admitted calls.
+CAPPED = """log AS (SELECT user_id AS client, event_id AS call_id, epoch_us(ts) AS ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+step AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS BIGINT) AS wait, CAST(-1 AS BIGINT) AS day, CAST(0 AS BIGINT) AS n,
+    CAST(MAP {} AS MAP(BIGINT, BIGINT[])) AS taken
+  UNION ALL SELECT i, call_id, wait, day, n + CASE WHEN wait IS NULL THEN 1 ELSE 0 END,
+    CASE WHEN wait IS NULL THEN map_concat(taken, MAP([client], [list_append(list_slice(own, -1, -1), ts)])) ELSE taken END
+  FROM (SELECT *, CASE WHEN n >= 100 THEN 3600 WHEN len(own) < 2 OR ts - own[1] >= 21600000000 THEN NULL
+      ELSE greatest(1, (21600000000 - (ts - own[1]) + 999999) // 1000000) END AS wait
+    FROM (SELECT c.i, c.call_id, c.client, c.ts, c.ts // 86400000000 AS day, CASE WHEN c.ts // 86400000000 = s.day THEN s.n ELSE 0 END AS n, s.taken,
+        coalesce(s.taken[c.client], CAST([] AS BIGINT[])) AS own FROM step s JOIN log c ON c.i = s.i + 1)))"""
+
+
+@check(f"WITH RECURSIVE {CAPPED} SELECT call_id, wait IS NULL AS admitted, CAST(wait AS INTEGER) AS wait FROM step WHERE i > 0")
 def quota_daily_cap(t):
-    admitted = Q.sliding_quota(calls_of(t), 2, 21_600).where("admitted")
-    return Q.daily_cap(admitted, 100).select("call_id", "within_cap")
+    """A hundred calls a day in all, and at most two of a client in any six hours."""
+    return Q.capped_quota(calls_of(t), 2, 100, 21_600).select("call_id", "admitted", "wait")
 
 
 @check("""SELECT event_id AS call_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS recent FROM events""")

@@ -43,7 +43,7 @@ def companies_by_name(t):
 
 
 def asked(t, sql: str):
-    return A.query_views(t.spark, tables(t), sql, 1000)
+    return A.query_views(t.spark, tables(t), sql)
 
 
 @check(f"WITH {ALL} SELECT count(*) AS jobs FROM jobs")
@@ -56,12 +56,18 @@ def ask_jobs_per_skill(t):
     return asked(t, "SELECT s.canonical_name, count(DISTINCT j.id) AS jobs FROM {jobs} j JOIN {job_skills} js ON js.job_id = j.id JOIN {skills} s ON s.id = js.skill_id GROUP BY 1")
 
 
-@check(f"""WITH {ALL} SELECT coalesce(c.name, 'none') AS company, count(*) AS jobs FROM jobs j LEFT JOIN companies c ON c.id = j.company_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
+@check(f"""WITH {ALL} SELECT coalesce(c.name, 'none') AS company, count(*) AS jobs FROM jobs j LEFT JOIN companies c ON c.id = j.company_id GROUP BY 1""")
 def ask_jobs_per_company(t):
-    return A.query_views(
-        t.spark, tables(t),
-        "SELECT coalesce(c.name, 'none') AS company, count(*) AS jobs FROM {jobs} j LEFT JOIN {companies} c ON c.id = j.company_id GROUP BY 1 ORDER BY 2 DESC, 1", 50,
-    )
+    return asked(t, "SELECT coalesce(c.name, 'none') AS company, count(*) AS jobs FROM {jobs} j LEFT JOIN {companies} c ON c.id = j.company_id GROUP BY 1")
+
+
+@check(f"""WITH {ALL}, all_rows AS (SELECT coalesce(c.name, 'none') AS company, count(*) AS jobs FROM jobs j LEFT JOIN companies c ON c.id = company_id GROUP BY 1)
+SELECT company, jobs, (SELECT count(*) > 50 FROM all_rows) AS cut FROM all_rows ORDER BY jobs DESC, company LIMIT 50""")
+def ask_capped_companies(t):
+    """A report of the 50 companies with most postings, which says that there are more."""
+    whole = asked(t, "SELECT coalesce(c.name, 'none') AS company, count(*) AS jobs FROM {jobs} j LEFT JOIN {companies} c ON c.id = j.company_id GROUP BY 1")
+    top = A.capped(whole, 50, [F.desc("jobs"), F.asc("company")])
+    return top.rows.withColumn("cut", top.cut.scalar())
 
 
 @check(f"""WITH {ALL} SELECT count(*) AS jobs FROM jobs j WHERE EXISTS (SELECT 1 FROM job_skills js JOIN skills s ON s.id = js.skill_id WHERE js.job_id = j.id AND s.canonical_name ILIKE '%Ring%')
@@ -78,7 +84,7 @@ def ask_jobs_per_location(t):
 
 @check(f"WITH {ALL} SELECT canonical_name, count(*) AS links FROM job_skills JOIN skills s ON s.id = skill_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 def ask_top_skill(t):
-    return A.query_views(t.spark, tables(t), "SELECT canonical_name, count(*) AS links FROM {job_skills} JOIN {skills} s ON s.id = skill_id GROUP BY 1 ORDER BY 2 DESC, 1", 1)
+    return A.query_views(t.spark, tables(t), "SELECT canonical_name, count(*) AS links FROM {job_skills} JOIN {skills} s ON s.id = skill_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 
 
 @check(f"""WITH {ALL} SELECT count(*) AS urgent FROM jobs WHERE employment_type ILIKE '%urgent%' OR title ILIKE '%urgent%'""")
@@ -94,10 +100,10 @@ def ask_aggregates(t):
 
 
 @check(f"""WITH {ALL} SELECT id, upper(title) AS u, lower(location) AS l, nullif(employment_type, '5-LOW') AS e, coalesce(company_id, -1) AS c, CAST(id AS VARCHAR) AS s,
-  CAST(date_trunc('month', posted_at) AS DATE) AS month, extract(year FROM posted_at) AS year, round(id / 7.0, 2) AS r FROM jobs ORDER BY id LIMIT 1000""")
+  CAST(date_trunc('month', posted_at) AS DATE) AS month, extract(year FROM posted_at) AS year, round(id / 7.0, 2) AS r FROM jobs""")
 def ask_scalar_functions(t):
     return asked(t, """SELECT id, upper(title) AS u, lower(location) AS l, nullif(employment_type, '5-LOW') AS e, coalesce(company_id, -1) AS c, CAST(id AS STRING) AS s,
-      CAST(date_trunc('month', posted_at) AS DATE) AS month, CAST(extract(year FROM posted_at) AS BIGINT) AS year, CAST(round(id / 7.0, 2) AS DOUBLE) AS r FROM {jobs} ORDER BY id""")
+      CAST(date_trunc('month', posted_at) AS DATE) AS month, CAST(extract(year FROM posted_at) AS BIGINT) AS year, CAST(round(id / 7.0, 2) AS DOUBLE) AS r FROM {jobs}""")
 
 
 @check(f"""WITH {ALL}, recent AS (SELECT id, location FROM jobs WHERE posted_at >= (SELECT max(posted_at) - INTERVAL 365 DAY FROM jobs)) SELECT location, count(*) AS jobs FROM recent GROUP BY 1""")
@@ -126,7 +132,7 @@ def scope_relations(t):
 
 @check(f"""WITH {SCOPE} SELECT canonical_name, count(js.job_id) AS links FROM skills s JOIN job_skills js ON js.skill_id = s.id WHERE js.job_id IN (SELECT job_id FROM ids) GROUP BY 1""")
 def scope_then_count(t):
-    return A.query_views(t.spark, scoped(t), "SELECT s.canonical_name, count(js.job_id) AS links FROM {skills} s JOIN {job_skills} js ON js.skill_id = s.id GROUP BY 1", 1000)
+    return A.query_views(t.spark, scoped(t), "SELECT s.canonical_name, count(js.job_id) AS links FROM {skills} s JOIN {job_skills} js ON js.skill_id = s.id GROUP BY 1")
 
 
 RULES = """rules AS (SELECT n_nationkey AS query_id, 'skill' AS field, '%' || split_part(p_name, ' ', 1) || '%' AS pattern, true AS wanted FROM nation JOIN part ON p_partkey = n_nationkey * 3
@@ -176,6 +182,13 @@ def position_in_hot_group(t):
     return K.position_in_group(keyed, ["l_suppkey"], order, F.date_trunc("month", "l_shipdate")).drop("l_shipdate")
 
 
+@check("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1) // 8 + 1 AS batch FROM lineitem""")
+def fixed_batches(t):
+    keyed = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+    order = [F.asc(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")]
+    return K.fixed_batches(keyed, ["l_suppkey"], order, F.date_trunc("month", "l_shipdate"), 8).drop("l_shipdate")
+
+
 @check("SELECT l_suppkey, arg_min(l_partkey, (l_shipdate, l_orderkey, l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY 1")
 def first_per_group(t):
     rows = t.lineitem.select("l_suppkey", "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber")

@@ -73,6 +73,16 @@ def judged_report(t):
     return E.judged_report(runs.select("query_id", "method", "doc_id", "rank"), judgments)[0]
 
 
+@check(f"""WITH {RUN}, {JUDGED}, whole AS (SELECT query_id FROM runs GROUP BY 1 HAVING NOT bool_or(doc_id % 17 = 0))
+SELECT query_id % 3 AS section, method, round(avg(strict_precision), 3) AS strict_precision, round(avg(lenient_precision), 3) AS lenient_precision, round(avg(ndcg), 3) AS ndcg,
+  count(*) AS judged_cases FROM j WHERE query_id IN (SELECT query_id FROM whole) GROUP BY 1, 2""")
+def judged_report_by_section(t):
+    runs = graded_runs(t)
+    judgments = runs.where("doc_id % 17 <> 0").select("query_id", "doc_id", "grade")
+    sections = runs.select("query_id", (F.col("query_id") % 3).alias("section")).distinct()
+    return E.judged_report(runs.select("query_id", "method", "doc_id", "rank"), judgments, sections=sections)[0]
+
+
 @check(f"WITH {RUN} SELECT query_id FROM runs GROUP BY 1 HAVING bool_or(doc_id % 17 = 0)")
 def judged_incomplete(t):
     runs = graded_runs(t)

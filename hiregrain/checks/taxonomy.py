@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hiregrain.checks.registry import JOB_SKILLS, SKILLS, check, collapse, fold, key, mentioned, named, tokens, words
+from hiregrain.checks.registry import JOB_SKILLS, SKILLS, WORD, check, collapse, fold, key, named, tokens, words
 from hiregrain.functions import text as T
 from hiregrain.operators import learning as L
 from hiregrain.operators import merges as M
@@ -48,23 +48,31 @@ def skill_lookup(t):
     return X.lookup(*spelled(t))
 
 
-@check(f"""WITH docs AS MATERIALIZED (SELECT doc_id, {fold(collapse('text'))} AS x FROM documents),
-phrases AS MATERIALIZED (SELECT DISTINCT array_to_string(list_slice({tokens('text')}, 1, 2), ' ') AS phrase FROM benchmark UNION
-  SELECT DISTINCT '+' || ({tokens('text')})[3] FROM benchmark),
-near AS MATERIALIZED (SELECT doc_id, x, phrase FROM docs, phrases WHERE contains(x, phrase))
-SELECT doc_id, phrase FROM near WHERE {mentioned('x', 'phrase')}""")
+def spaced(x: str) -> str:
+    """Every mark set between blanks: a whole-word mention is then a plain substring between blanks."""
+    return rf"' ' || regexp_replace({x}, '([^{WORD}])', ' \1 ', 'g') || ' '"
+
+
+@check(f"""WITH docs AS MATERIALIZED (SELECT doc_id, {spaced(fold(collapse('text')))} AS x FROM documents),
+listed AS (SELECT {tokens('text')} AS w FROM benchmark),
+phrases AS (SELECT DISTINCT unnest(w) AS phrase FROM listed UNION SELECT DISTINCT '+' || unnest(w) FROM listed
+  UNION SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM listed),
+needles AS MATERIALIZED (SELECT phrase, {spaced('phrase')} AS needle FROM phrases)
+SELECT doc_id, phrase FROM docs JOIN needles ON contains(x, needle)""")
 def skill_mentions(t):
-    words = T.tokens("text")
-    phrases = t.benchmark.select(F.explode(F.array(F.array_join(F.slice(words, 1, 2), " "), F.concat(F.lit("+"), F.get(words, F.lit(2))))).alias("phrase"))
+    """The catalog: every token of the benchmark texts, with a plus sign too, and every two tokens in a row."""
+    w = F.col("w")
+    pairs = F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
+    listed = t.benchmark.select(T.tokens("text").alias("w")).where(F.size("w") > 0)
+    phrases = listed.select(F.explode(F.concat(w, F.transform(w, lambda x: F.concat(F.lit("+"), x)), pairs)).alias("phrase"))
     return X.named_anywhere(t.documents, phrases.distinct(), "doc_id", "text", "phrase")
 
 
 def claims_of(t):
-    """Postings claim words of their own text; the evidence is the text without its first 60 characters."""
+    """Postings require all words of their text and prefer the same words spelled backwards, few of which the text holds."""
     words = T.tokens("text")
     postings = t.documents.select(
-        F.col("doc_id").alias("record_no"), F.slice(words, 1, 12).alias("required_skills"), F.slice(words, 5, 16).alias("preferred_skills"),
-        F.substring("text", 61, 100_000_000).alias("evidence"),
+        F.col("doc_id").alias("record_no"), words.alias("required_skills"), F.transform(words, F.reverse).alias("preferred_skills"), F.col("text").alias("evidence"),
     )
     first = F.get(words, F.lit(0))
     skills = t.benchmark.select(F.col("item_id").alias("id"), first.alias("canonical_name"), F.lit("curated").alias("origin"), F.lit("c").alias("category"))
@@ -72,10 +80,12 @@ def claims_of(t):
     return postings, skills, aliases
 
 
-CLAIMS = f"""docs AS (SELECT doc_id, {tokens('text')} AS w, {fold(collapse('substr(text, 61)'))} AS ev, list_distinct({words(fold(collapse('substr(text, 61)')))}) AS evw FROM documents),
-claims AS (SELECT doc_id AS job_id, 0 AS type_rank, generate_subscripts(list_slice(w, 1, 12), 1) - 1 AS pos, unnest(list_slice(w, 1, 12)) AS name, ev, evw FROM docs
-  UNION ALL SELECT doc_id, 1, generate_subscripts(list_slice(w, 5, 20), 1) - 1, unnest(list_slice(w, 5, 20)), ev, evw FROM docs),
-keyed AS (SELECT *, {key('name')} AS key, {named('ev', 'evw', 'name')} AS m FROM claims WHERE name <> '' AND length(name) <= 100),
+CLAIMS = f"""docs AS MATERIALIZED (SELECT doc_id, {tokens('text')} AS w, {fold(collapse('text'))} AS ev, list_distinct({words(fold(collapse('text')))}) AS evw FROM documents),
+claims AS (SELECT doc_id AS job_id, 0 AS type_rank, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS name FROM docs
+  UNION ALL SELECT doc_id, 1, generate_subscripts(w, 1) - 1, reverse(unnest(w)) FROM docs),
+spelled AS MATERIALIZED (SELECT DISTINCT job_id, name FROM claims),
+said AS MATERIALIZED (SELECT job_id, name, {named('ev', 'evw', 'name')} AS m FROM spelled JOIN docs ON doc_id = job_id),
+keyed AS MATERIALIZED (SELECT claims.*, {key('name')} AS key, m FROM claims JOIN said USING (job_id, name) WHERE name <> '' AND length(name) <= 100),
 skills AS (SELECT item_id AS id, ({tokens('text')})[1] AS n, ({tokens('text')})[2] AS a FROM benchmark),
 names AS (SELECT id, n FROM skills UNION SELECT id, a FROM skills),
 known AS (SELECT {key('n')} AS key, min(id) AS skill_id FROM names GROUP BY 1),
@@ -85,10 +95,11 @@ created AS (SELECT key, arg_min(name, (job_id, type_rank, pos)) AS n, min((job_i
 numbered AS (SELECT *, (SELECT max(item_id) FROM benchmark) + row_number() OVER (ORDER BY o) AS id FROM created),
 extended AS (SELECT key, skill_id, NULL AS o FROM known UNION ALL SELECT key, id, o FROM numbered),
 wording AS (SELECT id, n FROM names UNION ALL SELECT id, n FROM numbered),
-resolved AS (SELECT k.job_id, k.type_rank, k.pos, k.name, k.ev, k.evw, k.m, e.skill_id FROM keyed k JOIN extended e USING (key)
+resolved AS MATERIALIZED (SELECT k.job_id, k.type_rank, k.pos, k.name, k.m, e.skill_id FROM keyed k JOIN extended e USING (key)
   WHERE e.o IS NULL OR (k.job_id, k.type_rank, k.pos) >= e.o),
-accepted AS (SELECT job_id, type_rank, pos, name, skill_id FROM resolved r
-  WHERE m OR EXISTS (SELECT 1 FROM wording w WHERE w.id = r.skill_id AND {named('r.ev', 'r.evw', 'w.n')}))"""
+accepted AS (SELECT job_id, type_rank, pos, name, skill_id FROM resolved WHERE m
+  UNION ALL SELECT DISTINCT job_id, type_rank, pos, name, skill_id FROM resolved r JOIN wording w ON w.id = r.skill_id JOIN docs ON doc_id = job_id
+  WHERE NOT m AND {named('ev', 'evw', 'w.n')})"""
 
 
 @check(f"""WITH {CLAIMS} SELECT job_id, skill_id, CASE arg_min(type_rank, (type_rank, pos)) WHEN 0 THEN 'required' ELSE 'preferred' END AS requirement_type,

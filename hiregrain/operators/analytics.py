@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The columns each view exposes and the result cap.
+# The columns each view exposes.
 VIEWS = {
     "jobs": ["id", "title", "company_id", "location", "employment_type", "experience_years_min", "posted_at", "ingested_at"],
     "companies": ["id", "name"],
     "skills": ["id", "canonical_name", "category"],
     "job_skills": ["id", "job_id", "skill_id", "requirement_type", "evidence_text"],
 }
-MAX_ROWS = 100
-HIGHEST_CAP = 1000
+GRAM = 3  # letters of a pattern that must appear before it is tried
 
 
 def curated(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -37,18 +39,26 @@ def scope_to_jobs(tables: dict[str, DataFrame], job_ids: DataFrame) -> dict[str,
     return {name: df.select(*tables[name].columns) for name, df in scoped.items()}
 
 
-def capped(result: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
-    if not 1 <= rows <= HIGHEST_CAP:
-        raise ValueError(f"the row cap must be between 1 and {HIGHEST_CAP}")
-    return result.limit(rows)
+class Capped(NamedTuple):
+    """The first rows of a result in a stated order, and one row ``cut`` telling whether there were more."""
+
+    rows: DataFrame
+    cut: DataFrame
+
 
+def capped(result: DataFrame, rows: int, order: Sequence[Column | str]) -> Capped:
+    """Cut a result to its first ``rows`` by ``order``; without an order the choice would be arbitrary."""
+    if rows < 1 or not order:
+        raise ValueError("a cap needs a positive number of rows and an order")
+    return Capped(result.orderBy(*order).limit(rows), result.limit(rows + 1).agg((F.count("*") > rows).alias("cut")))
 
-def query_views(spark: SparkSession, tables: dict[str, DataFrame], sql: str, rows: int = MAX_ROWS) -> DataFrame:
+
+def query_views(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
     """Run an analyst's SELECT over the views; the tables are passed as named parameters of the text.
 
-    Refer to them as ``{jobs}``, ``{companies}``, ``{skills}`` and ``{job_skills}``.
+    Refer to them as ``{jobs}``, ``{companies}``, ``{skills}`` and ``{job_skills}``. The result is whole; see :func:`capped`.
     """
-    return capped(spark.sql(sql, **curated(tables)), rows)
+    return spark.sql(sql, **curated(tables))
 
 
 def page(rows: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
@@ -106,21 +116,28 @@ def silver_labels(rules: DataFrame, jobs: DataFrame, job_skills: DataFrame, skil
 
 
 def _like_join(values: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(value, query_id, wanted)`` for rules whose pattern matches a value; rules travel as one small array.
+    """``(value, query_id, wanted)`` for rules whose pattern matches a value.
 
-    The rule table is written by hand; its size is checked before it is put into the plan.
+    A value can only match a pattern whose first letters of the longest literal part it holds. So both sides meet in an
+    equi-join on such a piece of at most ``GRAM`` letters, and only then is the pattern tried. Patterns without a literal
+    match by length alone; they meet every value on the empty piece.
     """
-    from hiregrain.plans.blocks import fits
-
-    if not fits(rules, "pattern"):
-        raise ValueError("too many relevance rules; split them by query")
-    listed = rules.select(F.collect_list(F.struct("query_id", F.lower("pattern").alias("pattern"), "wanted")).alias("r"))
-    as_regex = lambda p: F.concat(
-        F.lit("(?s)^"), F.replace(F.replace(F.concat(F.lit("\\Q"), p, F.lit("\\E")), F.lit("%"), F.lit("\\E.*\\Q")), F.lit("_"), F.lit("\\E.\\Q")), F.lit("$")
-    )
-    lowered = values.withColumn("_v", F.lower("value")).withColumn("_r", listed.scalar())
-    hits = F.filter("_r", lambda r: F.regexp_like(F.col("_v"), as_regex(r["pattern"])))
-    return lowered.select("value", F.explode(hits).alias("_h")).select("value", "_h.query_id", "_h.wanted").distinct()
+    lowered = rules.select("query_id", F.lower("pattern").alias("_p"), "wanted").distinct()
+    literal = F.split("_p", "[%_]")
+    longest = F.aggregate(literal, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    rule = lowered.withColumn("_gram", F.substring(longest, 1, GRAM))
+    text = F.col("_v")
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(n) for n in range(1, GRAM + 1)]))
+    lowered_values = values.select("value", F.lower("value").alias("_v")).distinct()
+    met = lowered_values.select("value", "_v", F.explode(grams).alias("_gram")).join(rule, "_gram")
+    quoted = F.concat(F.lit("\\Q"), F.col("_p"), F.lit("\\E"))
+    regex = F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("%"), F.lit("\\E.*\\Q")), F.lit("_"), F.lit("\\E.\\Q")), F.lit("$"))
+    return met.where(F.regexp_like("_v", regex)).select("value", "query_id", "wanted").distinct()
 
 
 def copy_labels(labels: DataFrame, same_as: DataFrame) -> DataFrame:

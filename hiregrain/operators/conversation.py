@@ -55,7 +55,7 @@ def fold_context(messages: DataFrame) -> DataFrame:
     has_summary = F.coalesce(F.col("summary"), F.lit("")) != ""
     line = F.when(has_summary, F.concat(F.lit("- "), who, F.lit(": "), T.shorten("summary", MAX_LINE)))
     # Only the short line travels; the text itself is needed for user turns alone.
-    slim = messages.select("conv_id", "turn", line.alias("_line"), F.when(F.col("role") == "user", T.shorten("text", MAX_QUESTION)).alias("_q"))
+    slim = messages.select("conv_id", "turn", line.alias("_line"), F.when(F.col("role") == "user", T.shorten(F.coalesce("text", F.lit("")), MAX_QUESTION)).alias("_q"))
     placed = position_in_group(slim, ["conv_id"], [F.asc("turn")], F.floor(F.col("turn") / BLOCK))
     blocks = with_halo(placed, F.col("position"), BLOCK, HISTORY)
     before = Window.partitionBy("conv_id", "_block").orderBy("position").rowsBetween(-HISTORY, -1)

@@ -33,11 +33,16 @@ def score_cosine(queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.DataF
     )
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, ship: bool | None = None) -> DataFrame:
-    """``(query_id, doc_id, score, rank)``; both sides have an id and an ``embedding``."""
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
+    """``(query_id, doc_id, score, rank)``; both sides have an id and an ``embedding``.
+
+    With ``within`` (``doc_id``) only those documents are candidates.
+    """
+    if within is not None:
+        vectors = vectors.join(within.select("doc_id"), "doc_id", "left_semi")
     left = queries.select("query_id", F.col("embedding").alias("value"))
     right = vectors.select(F.col("doc_id").alias("item_id"), F.col("embedding").alias("value"))
-    return best_matches(left, right, score_cosine, k, decimals=9, ship=ship).withColumnRenamed("item_id", "doc_id")
+    return best_matches(left, right, score_cosine, k, decimals=9).withColumnRenamed("item_id", "doc_id")
 
 
 def require_index(vectors: DataFrame, dimensions: int | None = None) -> DataFrame:

@@ -43,21 +43,27 @@ def reciprocal_rank_fusion(
 
 def hybrid_search(
     queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int, candidates: int = CANDIDATES,
-    tokenizer=T.tokens,
+    tokenizer=T.tokens, within: DataFrame | None = None,
 ) -> DataFrame:
-    """BM25 and cosine rankings of ``max(k, candidates)`` documents each, fused and cut to ``k``."""
+    """BM25 and cosine rankings of ``max(k, candidates)`` documents each, fused and cut to ``k``.
+
+    ``within`` (see :func:`matching_documents`) filters before either ranking is cut.
+    """
     depth = max(k, candidates)
-    keyword = bm25_top_k(queries, docs, depth, tokenizer)
-    dense = dense_top_k(query_vectors, vectors, depth)
+    keyword = bm25_top_k(queries, docs, depth, tokenizer, within)
+    dense = dense_top_k(query_vectors, vectors, depth, within)
     return reciprocal_rank_fusion([keyword, dense], k)
 
 
-def filter_hits(hits: DataFrame, payload: DataFrame, *conditions) -> DataFrame:
-    """Hits whose payload satisfies every condition (a Column over payload columns)."""
+def matching_documents(payload: DataFrame, *conditions) -> DataFrame:
+    """Ids of the documents whose payload satisfies every condition (a Column over payload columns).
+
+    Hand them to a search as ``within``: a filter after the cut to ``k`` would lose hits.
+    """
     wanted = payload
     for condition in conditions:
         wanted = wanted.where(condition)
-    return hits.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    return wanted.select("doc_id").distinct()
 
 
 def passage_pairs(candidates: DataFrame, chunks: DataFrame) -> DataFrame:

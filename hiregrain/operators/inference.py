@@ -72,6 +72,31 @@ def reconcile(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(once, ["batch", "item"], "left")
 
 
+def infer_saved(requests: DataFrame, run: Callable[[DataFrame], DataFrame], folder: str, key: str, batches: int) -> DataFrame:
+    """Results of ``run`` over all requests, saved batch by batch below ``folder``.
+
+    Requests are dealt to ``batches`` by the hash of their key and every finished batch is a table of its own, so after a
+    failure a second call only runs what has no saved result yet.
+    """
+    spark = requests.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def finished(at: int) -> bool:
+        return files.exists(spark._jvm.org.apache.hadoop.fs.Path(root, f"batch={at}/_SUCCESS"))
+
+    place = F.pmod(F.xxhash64(key), F.lit(batches))
+    for at in range(batches):
+        wanted = requests.where(place == at)
+        if finished(at):  # the requests may have grown since
+            fresh = remaining(wanted, spark.read.parquet(f"{folder}/batch={at}"), key)
+            if not fresh.isEmpty():
+                run(fresh).write.mode("append").parquet(f"{folder}/batch={at}")
+        else:
+            run(wanted).write.mode("overwrite").parquet(f"{folder}/batch={at}")
+    return spark.read.parquet(*[f"{folder}/batch={at}" for at in range(batches)])
+
+
 def remaining(requests: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Requests without a saved result: the resume point of a run."""
     return requests.join(done.select(key), key, "left_anti")

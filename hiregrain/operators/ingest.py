@@ -53,11 +53,38 @@ def clean_records(raw: DataFrame) -> DataFrame:
         if kinds[name] == "string":
             column = T.clean_lines(column) if name in SKILL_FIELDS else T.clean(column)
         elif kinds[name] == "array<string>":
-            column = T.clean_array(column)
+            column = T.clean_array(T.nfkc_items(column))
+        elif kinds[name] == "map<string,string>":
+            column = clean_map(column)
         cleaned.append(column.alias(name))
     return renamed.select(*cleaned, *added)
 
 
+def clean_map(extra: Column) -> Column:
+    """Further fields of a record with clean names and values, in the order of their names."""
+    entries = F.transform(F.map_entries(extra), lambda e: F.struct(T.collapse(e["key"]).alias("key"), T.null_if_missing(T.collapse(e["value"])).alias("value")))
+    return F.when(extra.isNotNull(), ordered_map(entries))
+
+
+def ordered_map(entries: Column) -> Column:
+    """A map in the order of its keys; of several values for one key the last counts."""
+    latest = F.reverse(entries)
+    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(latest, lambda e: e["key"] == n), F.lit(0))["value"]))
+
+
+def canonical_url(url: Column) -> Column:
+    """One spelling of a URL: scheme and host in lower case, no default port, ``/`` for an empty path."""
+    form = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(.*)$"
+    scheme, host, path, rest = (F.regexp_extract(url, form, i) for i in (1, 2, 3, 4))
+    scheme = F.lower(scheme)
+    port = F.when(scheme == "https", F.lit(":443")).otherwise(F.lit(":80"))
+    host = F.lower(host)
+    host = F.when(F.endswith(host, port), F.substring(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
+    path = F.when(path == "", F.lit("/")).otherwise(path)
+    return F.when(url.rlike(form), F.concat(scheme, F.lit("://"), host, path, rest)).otherwise(url)
+
+
 def check(records: DataFrame, rules: list[tuple[str, Column, str]]) -> tuple[DataFrame, DataFrame]:
     """Split rows by ``(field, failed, message)`` rules into good rows and ``(record, error)``.
 
@@ -66,7 +93,7 @@ def check(records: DataFrame, rules: list[tuple[str, Column, str]]) -> tuple[Dat
     failed = F.filter(
         F.array(
             *[
-                F.when(F.coalesce(condition, F.lit(False)), F.lit(f"Validation failed for {field}: {message}"))
+                F.when(F.coalesce(condition, F.lit(False)), F.lit(f"{field}: {message}"))
                 for field, condition, message in rules
             ]
         ),
@@ -128,9 +155,12 @@ def without_stored(rows: DataFrame, stored: DataFrame | None, *keys: str) -> Dat
 
 def drop_duplicates_on(rows: DataFrame, stored: DataFrame | None, hash_key: str) -> DataFrame:
     """Rows to keep in record order: neither hash nor url stored, nor claimed by an earlier kept row."""
+    if stored is not None:
+        stored = stored.withColumn("source_url", canonical_url(F.col("source_url")))
+    rows = rows.withColumn("source_url", canonical_url(F.col("source_url")))
     fresh = without_stored(rows, stored, hash_key, "source_url")
-    keep = keep_first_on_both(fresh, "record_no", hash_key, "source_url")
-    return fresh.join(keep, "record_no", "left_semi")
+    keep = keep_first_on_both(fresh.select("record_no", hash_key, "source_url"), "record_no", hash_key, "source_url")
+    return fresh.join(keep, "record_no", "left_semi").select(*rows.columns)
 
 
 def extract_structured(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,11 +169,11 @@ def extract_structured(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     Required skills fall back to ``technical_skills``. A digit string counts as years of experience,
     so a CSV column behaves like a JSON number.
     """
-    technical = T.parse_skill_list("technical_skills")
-    required = T.parse_skill_list("required_skills")
+    kinds = dict(records.dtypes)
+    technical, required, preferred = (T.skill_items(f, kinds[f]) for f in ("technical_skills", "required_skills", "preferred_skills"))
     parsed = (
         records.withColumn("_required", F.when(F.size(required) > 0, required).otherwise(technical))
-        .withColumn("_preferred", T.parse_skill_list("preferred_skills"))
+        .withColumn("_preferred", preferred)
         .withColumn(
             "_years",
             F.coalesce(
@@ -183,10 +213,8 @@ def keep_source_facts(model_output: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def evidence_text() -> Column:
-    """The text in which a posting's skills must be named."""
-    return F.concat_ws(
-        " ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "description", "technical_skills")]
-    )
+    """The text in which a posting's skills must be named; skills may be text or a list."""
+    return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), F.concat_ws(" ", F.col("technical_skills")))
 
 
 def model_request() -> Column:
@@ -295,7 +323,7 @@ def import_postings(raw: DataFrame, stored: DataFrame | None = None, extract=Non
     inserted = materialize(drop_duplicates_on(good, stored, "content_hash"))
     quarantine = (
         invalid.unionByName(bad)
-        .unionByName(failed.select(F.col("record_no").alias("record"), F.lit("Structured extraction failed").alias("error")))
+        .unionByName(failed.select(F.col("record_no").alias("record"), F.lit("no structured posting could be made of the record").alias("error")))
     )
     fates = (
         cleaned.select("record_no")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiregrain.functions import text as T
-from hiregrain.plans.blocks import fits
 from hiregrain.plans.skew import top_per_key
 from hiregrain.session import materialize
 
@@ -46,12 +45,11 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
     The corpus is tokenized once and only tokens that some query uses leave the scan. They are placed
     by document and counted into a term table that is written out; the term table keeps its placement,
     so the sum over a query's terms needs no further shuffle. Corpus statistics come from the same
-    table through one extra token per document. The joins ship the query side, after its size was
-    checked; beyond that they are ordinary shuffle joins.
+    table through one extra token per document. Whether a join ships its query side is left to Spark's
+    own measured threshold.
     """
-    ship = F.broadcast if fits(queries, "text") else (lambda df: df)
     terms = query_terms(queries, tokenizer)
-    marker = queries.limit(1).select(F.lit(DOCUMENT).alias("token"))
+    marker = queries.sparkSession.range(1).select(F.lit(DOCUMENT).alias("token"))
     vocabulary = terms.select("token").unionByName(marker).distinct()
     # explode_outer, because plain explode infers a filter that would tokenize every text again;
     # the array always holds the marker.
@@ -59,7 +57,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
         docs.select("doc_id", tokenizer("text").alias("_t"))
         .select("doc_id", F.size("_t").alias("dl"), F.array_append("_t", DOCUMENT).alias("_t"))
         .select("doc_id", "dl", F.explode_outer("_t").alias("token"))
-        .join(ship(vocabulary), "token", "left_semi")
+        .join(vocabulary, "token", "left_semi")
         .repartition("doc_id")
     )
     frequencies = materialize(placed.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")))
@@ -76,16 +74,22 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / corpus["avg"]))
     return (
-        frequencies.join(ship(weights), "token")
+        frequencies.join(weights, "token")
         .groupBy("doc_id", "query_id")
         .agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
         .select("query_id", "doc_id", "score")
     )
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, tokenizer=T.tokens) -> DataFrame:
-    """Best ``k`` documents per query: score down, id up. No tokens or no documents, no rows."""
-    return top_per_key(bm25_scores(queries, docs, tokenizer), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, tokenizer=T.tokens, within: DataFrame | None = None) -> DataFrame:
+    """Best ``k`` documents per query: score down, id up. No tokens or no documents, no rows.
+
+    With ``within`` (``doc_id``) only those documents are ranked; corpus statistics stay those of all documents.
+    """
+    scores = bm25_scores(queries, docs, tokenizer)
+    if within is not None:
+        scores = scores.join(within.select("doc_id"), "doc_id", "left_semi")
+    return top_per_key(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def with_extra_terms(extra) -> object:

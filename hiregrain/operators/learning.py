@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +36,33 @@ def undecided(names: DataFrame, decisions: DataFrame, order: str = "seq") -> Dat
 
 
 def score_ratio(queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Ratcliff-Obershelp ratio of the ``k`` most similar keys; cheap upper bounds skip the rest."""
+    """Ratcliff-Obershelp ratio of the ``k`` most similar keys; an upper bound on each skips the rest."""
+    keys, others = queries["value"].tolist(), items["value"].tolist()
+    letters = {c: i for i, c in enumerate(sorted(set().union(*keys, *others)))}
+
+    def counts(texts: list[str]) -> np.ndarray:
+        table = np.zeros((len(texts), max(1, len(letters))), np.int16)
+        for row, text in enumerate(texts):
+            for c in text:
+                table[row, letters[c]] += 1
+        return table
+
+    item_counts, lengths = counts(others), np.array([len(o) for o in others])
+    number = items["item_id"].to_numpy()
     found = []
-    for query_id, key in zip(queries["query_id"], queries["value"]):
-        matcher = difflib.SequenceMatcher(None, key, "")
+    for query_id, key, own in zip(queries["query_id"], keys, counts(keys), strict=True):
+        # Letters in common bound the ratio from above for all items at once; the best bounds are tried first.
+        bounds = 2.0 * np.minimum(item_counts, own).sum(axis=1) / np.maximum(lengths + len(key), 1)
+        matcher = difflib.SequenceMatcher(None, "", "")
         best: list[tuple[float, int]] = []  # (score, -item id), the worst kept pair on top
-        for item_id, other in zip(items["item_id"], items["value"]):
+        for at in np.argsort(-bounds, kind="stable"):
+            if len(best) == k and bounds[at] < best[0][0]:
+                break
+            other = others[at]
             if other == key:
                 continue
-            bound = 2.0 * min(len(key), len(other)) / ((len(key) + len(other)) or 1)
-            if len(best) == k and bound < best[0][0]:
-                continue
-            matcher.set_seq2(other)
-            if len(best) == k and matcher.quick_ratio() < best[0][0]:
-                continue
-            entry = (matcher.ratio(), -item_id)
+            matcher.set_seqs(key, other)
+            entry = (matcher.ratio(), -int(number[at]))
             if len(best) < k:
                 heapq.heappush(best, entry)
             else:
@@ -58,11 +71,11 @@ def score_ratio(queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.DataFr
     return pd.DataFrame(found, columns=["query_id", "item_id", "score"])
 
 
-def nearest_skills(names: DataFrame, skills: DataFrame, k: int = NEAREST, ship: bool | None = None) -> DataFrame:
+def nearest_skills(names: DataFrame, skills: DataFrame, k: int = NEAREST) -> DataFrame:
     """``(key, skill_id, score, rank)``: the most similar skills per unknown key, never the same key."""
     queries = names.select(F.col("key").alias("query_id"), F.col("key").alias("value"))
     items = skills.select(F.col("id").alias("item_id"), T.match_key("canonical_name").alias("value"))
-    found = best_matches(queries, items, score_ratio, k, ship=ship)
+    found = best_matches(queries, items, score_ratio, k)
     return found.select(F.col("query_id").alias("key"), F.col("item_id").alias("skill_id"), "score", "rank")
 
 

@@ -16,7 +16,7 @@ from hiregrain.plans.skew import first_per_key, top_per_key
 REQUIRED_WEIGHT, PREFERRED_WEIGHT = 0.8, 0.2
 SEMANTIC_WEIGHT = 0.6
 MATCH_CANDIDATES, MATCH_LIMIT = 50, 10
-MAX_QUERY_CHARS = 2000
+MAX_QUERY_CHARS = 2000  # fixed value; ``None`` keeps the whole query
 
 
 def quoted_claims(claims: DataFrame, cvs: DataFrame) -> DataFrame:
@@ -132,8 +132,8 @@ def gap_report(targets: DataFrame, jobs: DataFrame, job_skills: DataFrame, skill
     return gaps, missing_skill_frequency(gaps)
 
 
-def cv_query(cvs: DataFrame, recognized: DataFrame) -> DataFrame:
-    """``(cv_id, query)``: summary, skills, projects, experience and education, first 2000 characters."""
+def cv_query(cvs: DataFrame, recognized: DataFrame, max_chars: int | None = MAX_QUERY_CHARS) -> DataFrame:
+    """``(cv_id, query)``: summary, skills, projects, experience and education, at most ``max_chars`` characters."""
     listed = recognized.groupBy("cv_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "skill"))), lambda x: x["skill"]), ", ").alias("_skills")
     )
@@ -144,7 +144,8 @@ def cv_query(cvs: DataFrame, recognized: DataFrame) -> DataFrame:
         *[F.coalesce(F.array_join(c, "\n"), F.lit("")) for c in ("projects", "experience", "education")],
     )
     kept = F.filter(F.transform(parts, strip), lambda x: x != "")
-    return cvs.join(listed, "cv_id", "left").select("cv_id", F.substring(F.array_join(kept, "\n"), 1, MAX_QUERY_CHARS).alias("query"))
+    query = F.array_join(kept, "\n")
+    return cvs.join(listed, "cv_id", "left").select("cv_id", (query if max_chars is None else F.substring(query, 1, max_chars)).alias("query"))
 
 
 def rank_matches(

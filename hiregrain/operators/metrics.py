@@ -72,18 +72,22 @@ def judged_metrics(runs: DataFrame, judgments: DataFrame, k_precision: int = 5,
     return scored.join(ideal, "query_id").select("query_id", "method", "strict_precision", "lenient_precision", ndcg.alias("ndcg"))
 
 
-def judged_report(runs: DataFrame, judgments: DataFrame, depth: int = 10) -> tuple[DataFrame, DataFrame]:
+def judged_report(runs: DataFrame, judgments: DataFrame, depth: int = 10, sections: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Means per method over fully judged queries, and the queries left out.
 
-    A query with any unjudged document in its pool is excluded.
+    A query with any unjudged document in its pool is excluded. ``sections`` (``query_id``, ``section``) reports the
+    sections of the query set apart.
     """
+    by = ["section"] if sections is not None else []
     pool = candidate_pool(runs, depth)
     judged = pool.join(judgments, ["query_id", "doc_id"], "left")
     whole = judged.groupBy("query_id").agg(F.bool_and(F.col("grade").isNotNull()).alias("_whole"))
     complete = whole.where("_whole").select("query_id")
     graded = judged.where("grade is not null").join(complete, "query_id", "left_semi")
     per_query = judged_metrics(runs.where(F.col("rank") <= depth).join(complete, "query_id", "left_semi"), graded)
-    report = per_query.groupBy("method").agg(
+    if sections is not None:
+        per_query = per_query.join(sections, "query_id")
+    report = per_query.groupBy(*by, "method").agg(
         *[F.round(F.avg(m), 3).alias(m) for m in ("strict_precision", "lenient_precision", "ndcg")],
         F.count("*").alias("judged_cases"),
     )
@@ -171,7 +175,12 @@ def human_agreement(review: DataFrame, judgments: DataFrame) -> DataFrame:
         )
     )
     missing = joined.agg(F.count_if(F.col("grade").isNull()).alias("m"))
-    return agreement(both.select(views.alias("v")).select("v.*"), "j", "h", by=["scale"]).withColumn("missing_judgments", missing.scalar())
+    scales = review.sparkSession.range(3).select(
+        F.when(F.col("id") == 0, "exact_0_1_2").otherwise(F.concat(F.lit("binary_grade_ge_"), F.col("id").cast("string"))).alias("scale")
+    )
+    found = agreement(both.select(views.alias("v")).select("v.*"), "j", "h", by=["scale"])
+    # Without any graded pair there are three rows with null agreement.
+    return scales.join(found, "scale", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0).cast("long"))).withColumn("missing_judgments", missing.scalar())
 
 
 def candidate_pool(runs: DataFrame, depth: int = 10) -> DataFrame:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,92 +13,91 @@ from hiregrain.session import materialize
 
 MICROS = 1_000_000
 WINDOW_SECONDS = 60
+DAY = 86_400 * MICROS
 DAILY_WAIT = 3600
+BLOCK_WINDOWS = 256  # windows of time in which one task looks for idle gaps
 
 
-def take(admitted: deque, now: int, limit: int, window: int) -> int | None:
-    """Admit a call into the client's queue of admitted times, or return the seconds to wait."""
-    while admitted and now - admitted[0] >= window:
-        admitted.popleft()
-    if len(admitted) < limit:
-        admitted.append(now)
+def seconds_to_wait(taken: list[int], now: int, limit: int, window: int) -> int | None:
+    """None if a call at ``now`` may pass, given the ascending times of the calls that passed before it.
+
+    It may when the ``limit``-th last of them is a whole window old, or when there are not so many.
+    """
+    if limit < 1:
+        raise ValueError("a quota admits at least one call")
+    if len(taken) < limit:
         return None
-    return max(1, math.ceil((window - (now - admitted[0])) / MICROS))
+    missing = taken[-limit] + window - now
+    return None if missing <= 0 else max(1, -(-missing // MICROS))
+
+
+def busy_stretches(calls: DataFrame, window: int) -> DataFrame:
+    """Add ``_stretch``: the time of the last call before which the client had made no call for a whole window.
+
+    At such a gap no earlier call counts any more, so stretches are independent of each other. Gaps are looked for
+    inside blocks of time; blocks only hand on their last call and their last gap, so a busy client spreads over tasks.
+    """
+    blocked = calls.withColumn("_block", F.floor(F.col("at") / F.lit(window * BLOCK_WINDOWS)))
+    inside = Window.partitionBy("client", "_block").orderBy("at", "call_id")
+    before = Window.partitionBy("client").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = blocked.groupBy("client", "_block").agg(F.max("at").alias("_end"))
+    ends = ends.select("client", "_block", F.max("_end").over(before).alias("_earlier"))
+    previous = F.coalesce(F.lag("at").over(inside), F.col("_earlier"))
+    gap = previous.isNull() | (F.col("at") - previous >= window)
+    marked = blocked.join(ends, ["client", "_block"]).withColumn("_gap", F.when(gap, F.col("at"))).drop("_earlier")
+    gaps = marked.groupBy("client", "_block").agg(F.max("_gap").alias("_last"))
+    gaps = gaps.select("client", "_block", F.max("_last").over(before).alias("_carried"))
+    own = F.max("_gap").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.join(gaps, ["client", "_block"]).withColumn("_stretch", F.coalesce(own, F.col("_carried"))).select(*calls.columns, "_stretch")
 
 
 def sliding_quota(calls: DataFrame, per_window: int, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """``(client, call_id, at, admitted, wait)``: at most ``per_window`` admitted calls in any window.
 
-    Whether a call is admitted depends on the calls admitted before it, so a client's calls form a
-    chain. The log is range-partitioned by client and time, which splits a busy client over many
-    tasks; each task walks its rows with a queue of at most ``per_window`` times. What crosses a
-    partition border is that queue: all tasks start from an empty one, then the borders whose incoming
-    queue turned out different are walked again until nothing changes. Only borders reach the driver.
+    Whether a call is admitted depends on the calls admitted before it, so the calls between two idle gaps of a client
+    form a chain. Chains are dealt out whole, and a task walks through its own with the last ``per_window`` admitted times.
     """
     window = window_seconds * MICROS
-    ordered = materialize(
-        calls.select("client", "call_id", "at").repartitionByRange("client", "at", "call_id").sortWithinPartitions("client", "at", "call_id")
-    )
-    kind = dict(ordered.dtypes)["client"]
-
-    def walk(batches: Iterator[pd.DataFrame], start: tuple | None):
-        """Yield (batch, waits) and finally leave (first client, last client, queue) in ``walk.border``."""
-        client, queue = (start[0], deque(start[1])) if start else (None, deque())
+    chains = busy_stretches(calls.select("client", "call_id", "at"), window)
+    ordered = chains.repartition("client", "_stretch").sortWithinPartitions("client", "_stretch", "at", "call_id")
+    kind = dict(calls.dtypes)["client"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, taken = None, []
         for batch in batches:
             waits = []
-            for name, now in zip(batch["client"], batch["at"]):
-                if name != client:
-                    client, queue = name, deque()
-                waits.append(take(queue, now, per_window, window))
-            yield batch, waits, client, queue
-
-    def borders_of(starts: dict, only: set | None):
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            part = TaskContext.get().partitionId()
-            if only is not None and part not in only:
-                return
-            first = None
-            client, queue = None, deque()
-            for batch, _, client, queue in walk(batches, starts.get(part)):
-                if first is None and len(batch):
-                    first = batch["client"].iloc[0]
-            if first is not None:
-                yield pd.DataFrame({"part": [part], "first": [first], "last": [client], "queue": [list(queue)]})
-
-        rows = ordered.mapInPandas(scan, f"part int, first {kind}, last {kind}, queue array<long>").collect()
-        return {r.part: (r.first, r["last"], tuple(r.queue)) for r in rows}
-
-    starts: dict[int, tuple] = {}
-    borders = borders_of(starts, None)
-    while True:
-        wanted = {}
-        parts = sorted(borders)
-        for before, part in zip(parts, parts[1:]):
-            if borders[before][1] == borders[part][0]:
-                wanted[part] = (borders[before][1], borders[before][2])
-        changed = {p for p in wanted if starts.get(p, (None, ()))[1] != wanted[p][1]}
-        starts = wanted
-        if not changed:
-            break
-        borders.update(borders_of(starts, changed))
+            for client, stretch, now in zip(batch["client"], batch["_stretch"], batch["at"], strict=True):
+                if chain != (client, stretch):
+                    chain, taken = (client, stretch), []
+                waits.append(seconds_to_wait(taken, now, per_window, window))
+                if waits[-1] is None:
+                    taken = [*taken[-per_window + 1 :], now] if per_window > 1 else [now]
+            yield batch.drop(columns="_stretch").assign(admitted=[w is None for w in waits], wait=pd.array(waits, dtype="Int32"))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, waits, _, _ in walk(batches, starts.get(TaskContext.get().partitionId())):
-            yield batch.assign(admitted=[w is None for w in waits], wait=pd.array(waits, dtype="Int32"))
+    return ordered.mapInPandas(walk, f"client {kind}, call_id long, at long, admitted boolean, wait int")
 
-    return ordered.mapInPandas(judge, f"client {kind}, call_id long, at long, admitted boolean, wait int")
 
+def capped_quota(calls: DataFrame, per_window: int, per_day: int, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """:func:`sliding_quota` under a cap of ``per_day`` admitted calls a day, all clients together.
 
-def daily_cap(calls: DataFrame, per_day: int) -> DataFrame:
-    """Add ``within_cap`` to admitted calls: the first ``per_day`` of each day, all clients together.
-
-    The last call inside the cap is found per day with a bounded top-k; every call is then compared
-    with it, so no day is sorted as a whole.
+    Once a day's cap is reached every further call of that day is refused with :data:`DAILY_WAIT` and leaves no trace in
+    its client's window. So the calls after a day's last admitted one are taken out and the rest judged again; a day's
+    end only reaches one window into the next day, and passes stop when no day's last call moves any more.
     """
-    dated = calls.withColumn("day", F.floor(F.col("at") / (86_400 * MICROS)))
-    inside = top_per_key(dated.select("day", "at", "call_id"), ["day"], [F.asc("at"), F.asc("call_id")], per_day, "_n")
-    last = inside.groupBy("day").agg(F.max(F.struct("at", "call_id")).alias("_last"))
-    return dated.join(last, "day").withColumn("within_cap", F.struct("at", "call_id") <= F.col("_last")).drop("_last")
+    dated = materialize(calls.select("client", "call_id", "at").withColumn("_day", F.floor(F.col("at") / DAY)))
+    at = F.struct("at", "call_id")
+    last = None
+    while True:
+        open_calls = dated if last is None else dated.join(last, "_day", "left").where(F.col("_last").isNull() | (at <= F.col("_last"))).drop("_last")
+        judged = materialize(sliding_quota(open_calls, per_window, window_seconds))
+        passed = judged.where("admitted").select(F.floor(F.col("at") / DAY).alias("_day"), "at", "call_id")
+        ranked = top_per_key(passed, ["_day"], [F.asc("at"), F.asc("call_id")], per_day, "_n").where(F.col("_n") == per_day)
+        fresh = materialize(ranked.select("_day", F.struct("at", "call_id").alias("_last")))  # one row per day
+        if last is not None and fresh.exceptAll(last).isEmpty() and last.exceptAll(fresh).isEmpty():
+            break
+        last = fresh
+    refused = dated.join(last, "_day").where(at > F.col("_last"))
+    return judged.unionByName(refused.select("client", "call_id", "at", F.lit(False).alias("admitted"), F.lit(DAILY_WAIT).alias("wait")))
 
 
 def offered_load(calls: DataFrame, window_seconds: int = WINDOW_SECONDS, block_seconds: int | None = None) -> DataFrame:

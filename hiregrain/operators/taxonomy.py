@@ -55,11 +55,8 @@ def claimed_skills(postings: DataFrame, job: str, evidence: str) -> DataFrame:
     kept = F.filter(listed, lambda c: (c["name"] != "") & (F.length(c["name"]) <= T.MAX_SKILL_CHARS))
     folded = F.coalesce(T.casefold(T.collapse(evidence)), F.lit(""))
     tested = T.let(
-        folded,
-        lambda text: F.transform(
-            kept,
-            lambda c: F.struct(c.alias("c"), F.regexp_like(text, T.phrase_pattern(T.casefold(c["name"]))).alias("mentioned")),
-        ),
+        T.spaced(folded),
+        lambda text: F.transform(kept, lambda c: F.struct(c.alias("c"), F.contains(text, T.spaced(T.casefold(c["name"]))).alias("mentioned"))),
     )
     return postings.select(F.col(job).alias("job_id"), F.explode_outer(tested).alias("_t")).where("_t is not null").select(
         "job_id", "_t.c.*", "_t.mentioned"
@@ -208,9 +205,11 @@ def named_anywhere(texts: DataFrame, phrases: DataFrame, doc: str, text: str, ph
         ),
     )
     keyed = folded.withColumn("_lengths", lengths).select("doc", F.explode_outer(F.array_distinct(runs)).alias("gram"))
-    hits = keyed.join(catalog.select("phrase", "folded", "gram"), "gram").select("doc", "phrase", "folded")
+    hits = keyed.join(catalog.select("phrase", "folded", "gram"), "gram")
+    # A text meets the phrases it may hold once, as one list, so it is never copied.
+    listed = hits.groupBy("doc").agg(F.collect_set(F.struct("phrase", "folded")).alias("_hits"))
+    tested = F.filter("_hits", lambda h: F.contains(F.col("_spaced"), T.spaced(h["folded"])))
     return (
-        hits.join(folded, "doc")
-        .where(F.regexp_like("_text", T.phrase_pattern(F.col("folded"))))
-        .select(F.col("doc").alias(doc), F.col("phrase").alias(phrase))
+        listed.join(folded.select("doc", T.spaced(F.col("_text")).alias("_spaced")), "doc")
+        .select(F.col("doc").alias(doc), F.explode(tested).alias("_h")).select(doc, F.col("_h.phrase").alias(phrase)).distinct()
     )

@@ -1,14 +1,12 @@
 """Best matches between two tables under a score no equi-join can express.
 
-A bounded query side is shipped to the workers and the items are scanned once, each task keeping only
-its best ``k`` per query. Beyond the bound both sides are cut into blocks by a hash of their ids and
-every pair of blocks becomes one small cogrouped task, so nothing grows with the data but the number
-of tasks. Both ways see every pair and give the same rows.
+Both sides are cut into blocks by a hash of their ids and every pair of blocks is one cogrouped task of fixed size, so
+nothing grows with the data but the number of tasks. Each task keeps only its best ``k`` per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,12 +14,10 @@ from pyspark.sql import functions as F
 
 from hiregrain.plans.skew import top_per_key
 
-MAX_SHIPPED_ROWS = 4_096
-MAX_SHIPPED_BYTES = 64 << 20
-QUERY_BLOCK = 4_096
-ITEM_BLOCK = 65_536
+QUERY_BLOCK = 1_024
+ITEM_BLOCK = 8_192
 
-# (queries, items) -> query_id, item_id, score of the k best items of every query
+# (queries, items, k) -> query_id, item_id, score of the k best items of every query
 Scorer = Callable[[pd.DataFrame, pd.DataFrame, int], pd.DataFrame]
 
 
@@ -30,15 +26,8 @@ def best_of(scored: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("query_id", sort=False).head(k)
 
 
-def fits(df: DataFrame, value: str, max_rows: int = MAX_SHIPPED_ROWS, max_bytes: int = MAX_SHIPPED_BYTES) -> bool:
-    """Whether a table is small enough to ship; reads at most ``max_rows + 1`` rows."""
-    width = F.size(value) * 8 if dict(df.dtypes)[value].startswith("array") else F.octet_length(value)
-    row = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return row.n <= max_rows and row.b <= max_bytes
-
-
 def best_matches(
-    queries: DataFrame, items: DataFrame, scorer: Scorer, k: int, decimals: int = 12, ship: bool | None = None
+    queries: DataFrame, items: DataFrame, scorer: Scorer, k: int, decimals: int = 12, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK
 ) -> DataFrame:
     """``(query_id, item_id, score, rank)`` of the ``k`` best items per query: score down, id up.
 
@@ -47,38 +36,27 @@ def best_matches(
     """
     kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
     schema = f"query_id {kinds[0]}, item_id {kinds[1]}, score double"
-    if fits(queries, "value") if ship is None else ship:
-        shipped = queries.sparkSession.sparkContext.broadcast(queries.select("query_id", "value").toPandas())
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                found = scorer(shipped.value, batch, k)
-                found["score"] = found["score"].round(decimals)
-                best = best_of(found if best is None else pd.concat([best, found]), k)
-            if best is not None:
-                yield best
-
-        local = items.select("item_id", "value").mapInPandas(scan, schema)
-    else:
-        query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        item_blocks = max(1, -(-items.count() // ITEM_BLOCK))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = queries.select(
-            "query_id", "value", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
-            every(item_blocks).alias("ib"),
-        )
-        right = items.select(
-            "item_id", "value", F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int").alias("ib"),
-            every(query_blocks).alias("qb"),
-        )
-
-        def pair(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or i.empty:
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            found = scorer(q, i, k)
-            found["score"] = found["score"].round(decimals)
-            return best_of(found, k)
-
-        local = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(pair, schema)
+    query_blocks = max(1, -(-queries.count() // query_block))
+    item_blocks = max(1, -(-items.count() // item_block))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = queries.select(
+        "query_id", "value", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
+        every(item_blocks).alias("ib"),
+    )
+    right = items.select(
+        "item_id", "value", F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int").alias("ib"),
+        every(query_blocks).alias("qb"),
+    )
+
+    def pair(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or i.empty:
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        found = scorer(q, i, k)
+        found["score"] = found["score"].round(decimals)
+        return best_of(found, k)
+
+    local = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(pair, schema)
     return top_per_key(local, ["query_id"], [F.desc("score"), F.asc("item_id")], k)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiregrain.session import materialize
 
+ROUNDS = 4  # of the two-key pass, before what is left is walked group by group
+
 
 def components(members: DataFrame, node: str = "node", key: str = "key") -> DataFrame:
     """Connected components of nodes that share keys: ``(node, component)``, the smallest node id.
@@ -33,19 +38,20 @@ def components(members: DataFrame, node: str = "node", key: str = "key") -> Data
         pairs = open_pairs.join(up, "label").select(F.col("up").alias("label"), "key").distinct()
 
 
-def keep_first_on_both(rows: DataFrame, order: str, first: str, second: str) -> DataFrame:
+def keep_first_on_both(rows: DataFrame, order: str, first: str, second: str, rounds: int = ROUNDS) -> DataFrame:
     """Ids kept by a pass in ``order`` that drops a row sharing either key with an earlier kept row.
 
-    A dropped row claims no key, so two independent first-per-key passes would drop too much. Here
-    a row is kept once it is the earliest remaining row for both of its keys, and rows sharing a key
-    with it leave. Only the earliest row of each key pair can ever be kept, so copies are folded
-    first. A null second key claims nothing.
+    A dropped row claims no key, so two independent first-per-key passes would drop too much. Only the earliest row of
+    each key pair can be kept, so copies are folded first. A row is kept once it is the earliest remaining row for both of
+    its keys, and rows sharing a key with it leave; a few such rounds settle nearly everything. What is left are long
+    chains of rows that hang on each other: their connected groups are dealt out whole and walked in order, a task holding
+    the keys that one group has claimed. A null second key claims nothing.
     """
     left = materialize(
         rows.groupBy(F.col(first).alias("_a"), F.col(second).alias("_b")).agg(F.min(order).alias("_id"))
     )
     kept = []
-    while not left.isEmpty():
+    for _ in range(rounds):
         best_a = left.groupBy("_a").agg(F.min("_id").alias("_ma"))
         best_b = left.where("_b is not null").groupBy("_b").agg(F.min("_id").alias("_mb"))
         ranked = left.join(best_a, "_a").join(best_b, "_b", "left")
@@ -58,7 +64,36 @@ def keep_first_on_both(rows: DataFrame, order: str, first: str, second: str) ->
             .join(won.where("_b is not null").select("_b").distinct(), "_b", "left_anti")
             .select("_a", "_b", "_id")
         )
-    result = rows.select(order).limit(0)
-    for part in kept:
+        if left.isEmpty():
+            break
+    else:
+        kept.append(_walk_groups(left).select(F.col("_id").cast(rows.schema[order].dataType).alias(order)))
+    result = kept[0]
+    for part in kept[1:]:
         result = result.unionByName(part)
     return result
+
+
+def _walk_groups(left: DataFrame) -> DataFrame:
+    """Ids kept of the rows ``(_a, _b, _id)``, group by group of rows connected by keys."""
+    keys = F.array(F.concat(F.lit("a"), F.col("_a").cast("string")), F.concat(F.lit("b"), F.col("_b").cast("string")))
+    members = left.select(F.col("_id").alias("node"), F.explode(keys).alias("key")).where("key is not null")
+    placed = left.join(components(members).select(F.col("node").alias("_id"), "component"), "_id")
+    # Only hashes of keys travel; two of them make a chance meeting of different keys as good as impossible.
+    mark = lambda c: F.when(F.col(c).isNotNull(), F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 32)).alias(c)
+    ordered = placed.select("component", "_id", mark("_a"), mark("_b")).repartition("component").sortWithinPartitions("component", "_id")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, claimed = None, set()
+        for batch in batches:
+            ids = []
+            for component, number, a, b in zip(batch["component"], batch["_id"], batch["_a"], batch["_b"], strict=True):
+                if component != group:
+                    group, claimed = component, set()
+                own = {("a", a)} | ({("b", b)} if b is not None else set())
+                if claimed.isdisjoint(own):
+                    claimed |= own
+                    ids.append(number)
+            yield pd.DataFrame({"_id": ids})
+
+    return ordered.mapInPandas(walk, f"_id {left.schema['_id'].dataType.simpleString()}")

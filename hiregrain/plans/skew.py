@@ -138,6 +138,14 @@ def median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFra
     return order_statistics(df, keys, value, 0.5, index, lambda v: (v[0] + v[1]) / 2, name)
 
 
+def fixed_batches(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, size: int) -> DataFrame:
+    """Number the rows of every group in batches of ``size``, the last one shorter; ``block`` as in :func:`position_in_group`."""
+    if size < 1:
+        raise ValueError("the batch size must be at least 1")
+    placed = position_in_group(df, keys, order, block, "_position")
+    return placed.withColumn("batch", (F.floor((F.col("_position") - 1) / size) + 1).cast("long")).drop("_position")
+
+
 def even_batches(df: DataFrame, keys: Sequence[str], position: str, size: str, limit: int) -> DataFrame:
     """Fewest batches of at most ``limit`` rows whose sizes differ by one at most, larger first.
 

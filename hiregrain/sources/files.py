@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from hiregrain.operators.ingest import FIELD_ALIASES, RECORD_FIELDS
+from hiregrain.functions import text as T
+from hiregrain.operators.ingest import FIELD_ALIASES, RECORD_FIELDS, ordered_map
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
@@ -21,14 +22,14 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     elif lowered.endswith(".json"):
         rows = _read_json(spark, path)
     else:
-        raise ValueError("only .csv and .json files are supported")
+        raise ValueError("a postings file ends in .csv or .json")
     return rows.withColumn("record_no", F.monotonically_increasing_id() + 1)
 
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").csv(path)
     if not rows.columns:
-        raise ValueError("CSV must contain a header row")
+        raise ValueError("the first row of a CSV file names its columns")
     first = rows.columns[0]
     return rows.withColumnRenamed(first, first.lstrip("﻿"))
 
@@ -38,21 +39,25 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
     listed = F.from_json(text, "array<map<string,string>>", {"mode": "PERMISSIVE"})
     wrapped = F.from_json(text, "struct<jobs:array<map<string,string>>>").getField("jobs")
     records = F.when(text.startswith("["), listed).otherwise(wrapped)
-    message = "JSON must contain a list of job objects or a 'jobs' list"
+    message = "a JSON file holds a list of postings, or an object with one under jobs"
     checked = F.coalesce(records, F.raise_error(F.lit(message)).cast("array<map<string,string>>"))
     record = spark.read.text(path, wholetext=True).select(F.explode(checked).alias("r"))
-    fields = [*RECORD_FIELDS, *FIELD_ALIASES]
-    extra = F.map_filter("r", lambda k, v: ~k.isin(fields))
-    return record.select(*[F.col("r").getItem(f).alias(f) for f in fields], extra.alias("extra")).transform(_prefer_given)
+    named = F.transform(F.map_entries("r"), lambda e: F.struct(_field(e["key"]).alias("key"), e["value"].alias("value")))
+    entries = F.filter(named, lambda e: e["key"].isNotNull())
+    # Of two spellings the later counts.
+    fields = record.select(ordered_map(entries).alias("_m"))
+    extra = F.map_filter("_m", lambda k, v: ~k.isin(RECORD_FIELDS))
+    return fields.select(*[F.col("_m").getItem(f).alias(f) for f in RECORD_FIELDS], extra.alias("extra"))
 
 
-def _prefer_given(rows: DataFrame) -> DataFrame:
-    """Fold alias fields of a JSON record into the field they stand for."""
-    def folded(field: str) -> Column:
-        spellings = [a for a, f in FIELD_ALIASES.items() if f == field]
-        return F.coalesce(*[F.col(s) for s in reversed(spellings)], F.col(field)).alias(field)
-
-    return rows.select(*[folded(f) for f in RECORD_FIELDS], "extra")
+def _field(key: Column) -> Column:
+    """The field a JSON key stands for; null for a key that is itself a missing marker."""
+    cleaned = T.collapse(key)
+    folded = T.casefold(cleaned)
+    target = cleaned
+    for alias, field in FIELD_ALIASES.items():
+        target = F.when(folded == alias, F.lit(field)).otherwise(target)
+    return F.when(~folded.isin(T.MISSING), target)
 
 
 def read_definitions(spark: SparkSession, path: str) -> DataFrame:
@@ -73,20 +78,29 @@ JUDGMENT = "grade:int,reason:string,doc_sha:string,prompt_version:string,model:s
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
-    """Flat judgments from ``{query: {job id: {...}}}``."""
-    parsed = F.from_json("value", f"map<string,map<string,struct<{JUDGMENT}>>>")
+    """Flat judgments from ``{query: {job id: {...}}}``: one object over a whole file, or one object a line.
+
+    Whole files are tried first, so a pretty-printed cache is read too; a file that is neither form is an error.
+    """
+    kind = f"map<string,map<string,struct<{JUDGMENT}>>>"
+    files = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+    # from_json stops after the first object, so a file of lines is told by a line that starts after another has ended.
+    by_line = F.col("value").rlike(r"(?s)\}\s*\n\s*\{\s*\"")
+    parts = F.when(by_line, F.split("value", r"\R")).otherwise(F.array("value"))
+    lines = files.select(F.explode(parts).alias("value")).where(F.trim("value") != "")
+    parsed = F.coalesce(F.from_json("value", kind), F.raise_error(F.lit("a judgment cache holds objects of the form {query: {job id: judgment}}")).cast(kind))
     return (
-        spark.read.text(path, wholetext=True)
-        .select(F.explode(parsed).alias("query", "_jobs"))
+        lines.select(F.explode(parsed).alias("query", "_jobs"))
         .select("query", F.explode("_jobs").alias("_id", "_j"))
         .select("query", F.col("_id").cast("bigint").alias("job_id"), "_j.*")
     )
 
 
 def judgments_json(judgments: DataFrame) -> DataFrame:
-    """One ``(query, value)`` JSON member per query; written as text by ``write_text``."""
+    """One object ``{query: {job id: {...}}}`` per query and line; written as text by ``write_text``."""
     entry = F.struct("grade", "reason", "doc_sha", "prompt_version", "model")
-    per_query = judgments.groupBy("query").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("job_id").cast("string").alias("k"), entry.alias("v"))), )).alias("m"))
+    members = F.array_sort(F.collect_list(F.struct(F.col("job_id").cast("string").alias("k"), entry.alias("v"))))
+    per_query = judgments.groupBy("query").agg(F.map_from_entries(members).alias("m"))
     return per_query.select(F.to_json(F.create_map("query", "m")).alias("value"))
 
 
@@ -107,14 +121,6 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(*[plain(f) for f in report.schema]).write.mode("overwrite").json(path)
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """A parquet table. With ``spread``, one that arrives in fewer splits than there are cores (a single
-    small file) is dealt out over all cores; a table of many splits is read as it lies."""
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if spread and table.rdd.getNumPartitions() < cores else table
-
-
 def write_version(df: DataFrame, folder: str, version: int) -> str:
     """Write a table version next to the older ones; a table is never overwritten while it is read."""
     target = f"{folder}/version={version}"

@@ -12,11 +12,11 @@ KEYS = "raw_hash string, content_hash string, source_url string, batch long"
 
 
 def stored_keys(spark: SparkSession, folder: str, before: int) -> DataFrame:
-    """Keys of postings stored by earlier batches."""
-    try:
-        stored = spark.read.parquet(folder)
-    except Exception:  # noqa: BLE001 - the folder does not exist before the first batch
-        return spark.createDataFrame([], KEYS)
+    """Keys of postings stored by earlier batches; none before the first batch, and an unreadable store is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], KEYS.rsplit(",", 1)[0])
+    stored = spark.read.parquet(folder)
     return stored.where(F.col("batch") < before).select("raw_hash", "content_hash", "source_url")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hiregrain.operators.quota import MICROS, WINDOW_SECONDS, take
+from hiregrain.operators.quota import MICROS, WINDOW_SECONDS, seconds_to_wait
 
 
 def stream_quota(calls: DataFrame, per_window: int, window_seconds: int = WINDOW_SECONDS, delay: str = "1 minute") -> DataFrame:
@@ -36,13 +35,15 @@ def stream_quota(calls: DataFrame, per_window: int, window_seconds: int = WINDOW
         waiting = sorted(zip(times, ids))
         due = [call for call in waiting if call[0] <= passed]
         waiting = waiting[len(due):]
-        queue = deque(int(a) for a in admitted)
-        waits = [take(queue, at, per_window, window) for at, _ in due]
-        while queue and passed - queue[0] >= window:
-            queue.popleft()
-        if waiting or queue:
-            state.update(([at for at, _ in waiting], [i for _, i in waiting], list(queue)))
-            wake = waiting[0][0] if waiting else queue[0] + window
+        taken, waits = [int(a) for a in admitted], []
+        for at, _ in due:
+            waits.append(seconds_to_wait(taken, at, per_window, window))
+            if waits[-1] is None:
+                taken.append(at)
+        taken = [at for at in taken[-per_window:] if passed - at < window]
+        if waiting or taken:
+            state.update(([at for at, _ in waiting], [i for _, i in waiting], taken))
+            wake = waiting[0][0] if waiting else taken[0] + window
             state.setTimeoutTimestamp(max(passed // 1000 + 1, -(-wake // 1000)))
         else:
             state.remove()

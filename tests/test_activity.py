@@ -1,5 +1,5 @@
+import math
 import random
-from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,9 +13,28 @@ from hiregrain.streaming.quota import stream_quota
 
 
 def replay(calls, limit, window):
-    queues, out = {}, {}
+    """Call by call, looking back over all admitted calls of the client."""
+    admitted, out = {}, {}
     for client, call, at in sorted(calls, key=lambda c: (c[0], c[2], c[1])):
-        out[call] = Q.take(queues.setdefault(client, deque()), at, limit, window * Q.MICROS)
+        recent = [t for t in admitted.setdefault(client, []) if at - t < window * Q.MICROS]
+        out[call] = None if len(recent) < limit else max(1, math.ceil((window * Q.MICROS - (at - recent[0])) / Q.MICROS))
+        if out[call] is None:
+            admitted[client].append(at)
+    return out
+
+
+def replay_capped(calls, limit, window, per_day):
+    admitted, days, out = {}, {}, {}
+    for client, call, at in sorted(calls, key=lambda c: (c[2], c[1])):
+        day = at // Q.DAY
+        if days.get(day, 0) >= per_day:
+            out[call] = Q.DAILY_WAIT
+            continue
+        recent = [t for t in admitted.setdefault(client, []) if at - t < window * Q.MICROS]
+        out[call] = None if len(recent) < limit else max(1, math.ceil((window * Q.MICROS - (at - recent[0])) / Q.MICROS))
+        if out[call] is None:
+            admitted[client].append(at)
+            days[day] = days.get(day, 0) + 1
     return out
 
 
@@ -32,8 +51,19 @@ def test_quota_golden(spark):
     calls = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("b", 3, 0), ("a", 4, 61 * s)], "client string, call_id long, at long")
     got = {r.call_id: (r.admitted, r.wait) for r in Q.sliding_quota(calls, 1).collect()}
     assert got == {1: (True, None), 2: (False, 60), 3: (True, None), 4: (True, None)}
-    capped = Q.daily_cap(Q.sliding_quota(calls, 1).where("admitted"), 2)
-    assert {r.call_id: r.within_cap for r in capped.collect()} == {1: True, 3: True, 4: False}
+    capped = Q.capped_quota(calls, 1, 2)
+    assert {r.call_id: r.wait for r in capped.collect()} == {1: None, 2: 60, 3: None, 4: Q.DAILY_WAIT}
+
+
+def test_calls_stopped_by_the_daily_cap_leave_no_trace(spark):
+    midnight, s = Q.DAY, Q.MICROS
+    calls = [("a", 1, midnight - 50 * s), ("a", 2, midnight - 30 * s), ("a", 3, midnight + 5 * s)]
+    frame = spark.createDataFrame(calls, "client string, call_id long, at long")
+    assert {r.call_id: r.wait for r in Q.capped_quota(frame, 2, 1).collect()} == {1: None, 2: Q.DAILY_WAIT, 3: None}
+    rnd = random.Random(7)
+    many = [(f"c{rnd.randrange(3)}", i, rnd.randrange(4 * 24) * 3600 * s + rnd.randrange(3000) * s) for i in range(400)]
+    frame = spark.createDataFrame(many, "client string, call_id long, at long")
+    assert {r.call_id: r.wait for r in Q.capped_quota(frame, 2, 40, 7200).collect()} == replay_capped(many, 2, 7200, 40)
 
 
 def test_streaming_quota_equals_batch(spark, tmp_path):
@@ -122,3 +152,13 @@ def test_fabricated_answer(spark):
 def test_no_claims_is_grounded(spark):
     report, unsupported = grounded(spark, "nothing to say")
     assert report.grounded and report.checked_number == 0 and unsupported == set()
+
+
+def test_an_unreadable_store_is_an_error(spark, tmp_path):
+    from hiregrain.streaming.ingest import stored_keys
+
+    assert stored_keys(spark, str(tmp_path / "nothing"), 3).count() == 0
+    (tmp_path / "postings").mkdir()
+    (tmp_path / "postings" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        stored_keys(spark, str(tmp_path / "postings"), 3).count()

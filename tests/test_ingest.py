@@ -124,6 +124,43 @@ def test_judgment_cache_round_trip(spark, tmp_path):
     assert json.loads(S.judgments_json(flat).first().value) == cache
 
 
+def test_judgment_caches_keep_every_query(spark, tmp_path):
+    entry = {"grade": 1, "reason": "r", "doc_sha": "s", "prompt_version": "v", "model": "m"}
+    cache = {q: {str(j): entry for j in range(2)} for q in ("q1", "q2", "q3")}
+    (tmp_path / "nested.json").write_text(json.dumps(cache, indent=1))
+    flat = S.read_judgments(spark, str(tmp_path / "nested.json"))
+    S.write_text(S.judgments_json(flat), str(tmp_path / "lines"))
+    again = S.read_judgments(spark, str(tmp_path / "lines"))
+    assert {(r["query"], r.job_id) for r in again.collect()} == {(q, j) for q in cache for j in range(2)}
+    S.write_text(S.judgments_json(flat).coalesce(1), str(tmp_path / "one"))
+    assert S.read_judgments(spark, str(tmp_path / "one")).count() == 6
+    (tmp_path / "bad.json").write_text("[1]")
+    with pytest.raises(Exception, match="judgment cache"):
+        S.read_judgments(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_json_fields_and_further_fields(spark, tmp_path):
+    postings = [
+        {"Job_Description": "old", "description": "new", "level": "2", "site": " x "}, {"description": "old", "JOB_DESCRIPTION": "new", "site": "x", "level": " 2 "},
+        {"title": "t", "technical_skills": ["Ada", "n/a"], "description": "d", "none": "?"},
+    ]
+    (tmp_path / "p.json").write_text(json.dumps(postings))
+    raw = S.read_postings(spark, str(tmp_path / "p.json"))
+    rows = raw.orderBy("record_no").collect()
+    assert [r.description for r in rows] == ["new", "new", "d"] and rows[2].extra == {}
+    cleaned = I.clean_records(raw)
+    hashes = [r.h for r in cleaned.withColumn("h", I.raw_hash(cleaned)).orderBy("record_no").collect()]
+    assert hashes[0] == hashes[1] != hashes[2]
+    done, _ = I.extract_structured(cleaned)
+    assert [r.required_skills for r in done.collect()] == [["Ada"]]
+
+
+def test_urls_are_compared_in_one_spelling(spark):
+    urls = ["https://Example.com", "https://example.com/", "HTTPS://example.com:443/", "https://example.com/a", "https://example.com/A"]
+    raw = spark.createDataFrame([(i, "t", f"d{i}", u, ["Ada"]) for i, u in enumerate(urls, 1)], "record_no long, title string, description string, source_url string, required_skills array<string>")
+    assert sorted(r.record_no for r in I.import_postings(raw).postings.collect()) == [1, 4, 5]
+
+
 def test_taxonomy_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"PostgreSQL": {"category": "database", "aliases": ["postgres"]}}))
     (tmp_path / "b.json").write_text(json.dumps([["Java", "JavaScript"]]))
