@@ -69,30 +69,35 @@ def skill_mentions(t):
 
 
 def claims_of(t):
-    """Postings require all words of their text and prefer the same words spelled backwards, few of which the text holds."""
-    words = T.tokens("text")
-    postings = t.documents.select(
-        F.col("doc_id").alias("record_no"), words.alias("required_skills"), F.transform(words, F.reverse).alias("preferred_skills"), F.col("text").alias("evidence"),
+    """Postings: a document whose skills are the words of a benchmark text, required as they are and preferred backwards.
+
+    The evidence is the document. Words of even length are known skills, with the word backwards as an alias.
+    """
+    said = t.benchmark.select("item_id", T.tokens("text").alias("w"))
+    postings = t.documents.withColumn("item_id", F.col("doc_id") % t.benchmark.count()).join(said, "item_id").select(
+        F.col("doc_id").alias("record_no"), F.col("w").alias("required_skills"), F.transform("w", F.reverse).alias("preferred_skills"), F.col("text").alias("evidence")
     )
-    first = F.get(words, F.lit(0))
-    skills = t.benchmark.select(F.col("item_id").alias("id"), first.alias("canonical_name"), F.lit("curated").alias("origin"), F.lit("c").alias("category"))
-    aliases = t.benchmark.select(F.col("item_id").alias("skill_id"), F.get(words, F.lit(1)).alias("alias"))
-    return postings, skills, aliases
+    known = said.select("item_id", F.posexplode("w").alias("pos", "word")).where(F.length("word") % 2 == 0).withColumn("id", F.col("item_id") * 10_000 + F.col("pos"))
+    skills = known.select("id", F.col("word").alias("canonical_name"), F.lit("curated").alias("origin"), F.lit("c").alias("category"))
+    return postings, skills, known.select(F.col("id").alias("skill_id"), F.reverse("word").alias("alias"))
 
 
-CLAIMS = f"""docs AS MATERIALIZED (SELECT doc_id, {tokens('text')} AS w, {fold(collapse('text'))} AS ev, list_distinct({words(fold(collapse('text')))}) AS evw FROM documents),
+CLAIMS = f"""listed AS (SELECT item_id, {tokens('text')} AS w FROM benchmark),
+docs AS MATERIALIZED (SELECT doc_id, w, {fold(collapse('text'))} AS ev, list_distinct({words(fold(collapse('text')))}) AS evw
+  FROM documents JOIN listed ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
 claims AS (SELECT doc_id AS job_id, 0 AS type_rank, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS name FROM docs
   UNION ALL SELECT doc_id, 1, generate_subscripts(w, 1) - 1, reverse(unnest(w)) FROM docs),
 spelled AS MATERIALIZED (SELECT DISTINCT job_id, name FROM claims),
 said AS MATERIALIZED (SELECT job_id, name, {named('ev', 'evw', 'name')} AS m FROM spelled JOIN docs ON doc_id = job_id),
 keyed AS MATERIALIZED (SELECT claims.*, {key('name')} AS key, m FROM claims JOIN said USING (job_id, name) WHERE name <> '' AND length(name) <= 100),
-skills AS (SELECT item_id AS id, ({tokens('text')})[1] AS n, ({tokens('text')})[2] AS a FROM benchmark),
+toks AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM listed),
+skills AS (SELECT item_id * 10000 + pos AS id, word AS n, reverse(word) AS a FROM toks WHERE length(word) % 2 = 0),
 names AS (SELECT id, n FROM skills UNION SELECT id, a FROM skills),
 known AS (SELECT {key('n')} AS key, min(id) AS skill_id FROM names GROUP BY 1),
 found AS (SELECT * FROM keyed LEFT JOIN known USING (key)),
 unknown AS (SELECT * FROM found WHERE skill_id IS NULL AND m AND length(name) <= 50),
 created AS (SELECT key, arg_min(name, (job_id, type_rank, pos)) AS n, min((job_id, type_rank, pos)) AS o FROM unknown GROUP BY key),
-numbered AS (SELECT *, (SELECT max(item_id) FROM benchmark) + row_number() OVER (ORDER BY o) AS id FROM created),
+numbered AS (SELECT *, (SELECT max(id) FROM skills) + row_number() OVER (ORDER BY o) AS id FROM created),
 extended AS (SELECT key, skill_id, NULL AS o FROM known UNION ALL SELECT key, id, o FROM numbered),
 wording AS (SELECT id, n FROM names UNION ALL SELECT id, n FROM numbered),
 resolved AS MATERIALIZED (SELECT k.job_id, k.type_rank, k.pos, k.name, k.m, e.skill_id FROM keyed k JOIN extended e USING (key)

@@ -108,12 +108,18 @@ def normalize_skills(
     named = resolved.where("mentioned")
     other = wordings(skills.select("id", "canonical_name").unionByName(new_skills.select("id", "canonical_name")), aliases)
     # Only claims not spelled in their own text look at the other spellings of their skill.
+    # A posting's text meets all of these once, as one list, and is folded once.
+    claim = F.struct(*[F.col(c) for c in named.columns if c != "job_id"])
+    wordings_of = other.select("skill_id", T.spaced(T.casefold(T.collapse("name"))).alias("_needle"))
+    asked = (
+        resolved.where(~F.col("mentioned")).join(wordings_of, "skill_id")
+        .groupBy("job_id").agg(F.collect_list(F.struct(claim.alias("claim"), "_needle")).alias("_asked"))
+    )
+    text = F.coalesce(T.casefold(T.collapse(evidence)), F.lit(""))
+    held = F.filter("_asked", lambda a: F.contains(F.col("_spaced"), a["_needle"]))
     reworded = (
-        resolved.where(~F.col("mentioned"))
-        .join(other.withColumnRenamed("name", "wording"), "skill_id")
-        .join(postings.select(F.col(job).alias("job_id"), F.col(evidence).alias("_text")), "job_id")
-        .where(T.mentions("_text", "wording"))
-        .select(*named.columns)
+        asked.join(postings.select(F.col(job).alias("job_id"), T.spaced(text).alias("_spaced")), "job_id")
+        .select("job_id", F.explode(held).alias("_h")).select("job_id", "_h.claim.*").select(*named.columns)
     )
     links = first_per_key(
         named.unionByName(reworded).select("job_id", "skill_id", "type_rank", "pos", "requirement_type", F.col("name").alias("evidence_text")),
