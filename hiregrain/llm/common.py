@@ -10,6 +10,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"  # fixed values
 WHITE = " \t\n\x0b\f\r"  # fixed value: [\x20\x09-\x0D]
@@ -38,9 +39,10 @@ def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
 def map_texts(df: DataFrame, work: Callable[[list, pa.RecordBatch], dict[str, list]], schema: str, text: str, slice_rows: int = 512, keep_text: bool = False) -> DataFrame:
     """Apply ``work(texts, batch)`` to slices of Arrow batches and append its columns to the rows, without the text unless it is to be kept.
 
-    ``work`` returns one list per new column. Slices keep few texts alive as Python strings at a time.
+    ``work`` returns one list per new column; a new column replaces one of its name. Slices keep few texts alive as Python strings at a time.
     """
-    kept = [c for c in df.columns if keep_text or c != text]
+    added = StructType.fromDDL(schema).fieldNames()
+    kept = [c for c in df.columns if (keep_text or c != text) and c not in added]
     rest = df.select(*kept).schema
     full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [schema])
 

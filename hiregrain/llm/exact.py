@@ -28,6 +28,14 @@ def _slot(keys: Sequence[Column], bits: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
 
 
+def _length(text: str) -> Column:
+    return F.octet_length(whole(text))
+
+
+def _head(text: str, prefix: int) -> Column:
+    return F.xxhash64(lower_ascii(F.substring(whole(text), 1, prefix)))
+
+
 def _bitmap(crowded: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
     """At most ``2**(bits - 15)`` rows of 4 KiB: one bit per slot that a crowded key falls in."""
     slot = _slot([F.col(k) for k in keys], bits)
@@ -48,20 +56,21 @@ def _in_bitmap(df: DataFrame, bitmap: DataFrame, keys: Sequence[Column], bits: i
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", carry: Sequence[str] = (), prefix: int = PREFIX, bits: int = BITMAP_BITS) -> DataFrame:
     """One row per input row: the id, the carried columns, ``keep_id``, ``group_size`` and ``kept``."""
-    content = whole(text)
-    signature = docs.select(F.octet_length(content).alias("_len"), F.xxhash64(lower_ascii(F.substring(content, 1, prefix))).alias("_head"))
+    signature = docs.select(_length(text).alias("_len"), _head(text, prefix).alias("_head"))
     counted = materialize(signature.groupBy("_len", "_head").agg(F.count("*").alias("_n")))  # a hot key is one row per task
     lengths = counted.groupBy("_len").agg(F.sum("_n").alias("_total")).where("_total > 1").select("_len")
     heads = counted.where("_n > 1").join(lengths, "_len", "left_semi")
     bitmap = _bitmap(heads, ["_len", "_head"], bits)
-    head = [F.octet_length(content), F.xxhash64(lower_ascii(F.substring(content, 1, prefix)))]
-    met = _in_bitmap(docs.select(id_column, text, *carry), bitmap, head, bits, "_met")
-    full = F.when(F.col("_met"), F.unhex(F.sha2(lower_ascii(content), 256)))
-    rows = materialize(met.select(id_column, *carry, full.alias("_full")))
-    groups = rows.where("_full is not null").groupBy("_full").agg(F.max(id_column).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    out = rows.join(groups, "_full", "left")
-    keep = F.coalesce("keep_id", id_column)
+    carried = F.struct(*[F.col(f"`{c}`") for c in (id_column, *carry)]).alias("_row")  # no name can clash in there
+    met = _in_bitmap(docs.select(carried, F.col(id_column).alias("_id"), F.col(text).alias("_text")), bitmap, [_length("_text"), _head("_text", prefix)], bits, "_met")
+    full = F.when(F.col("_met"), F.unhex(F.sha2(lower_ascii(whole("_text")), 256)))
+    rows = materialize(met.select("_row", "_id", full.alias("_full")))
+    hashed, alone = rows.where("_full is not null"), rows.where("_full is null")  # the latter would all meet on null
+    groups = hashed.groupBy("_full").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    # Written out, so that the join has an exchange of its own on either side and Spark can split a large group's partition.
+    out = hashed.join(materialize(groups), "_full", "left").unionByName(alone, allowMissingColumns=True)
+    keep = F.coalesce("keep_id", "_id")
     return out.select(
-        id_column, *carry, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col(id_column) == keep, F.col("group_size").isNull() | F.col("keep_id").isNull()).alias("kept"),
+        *[F.col("_row").getField(c).alias(c) for c in (id_column, *carry)], keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("_id") == keep, F.col("group_size").isNull() | F.col("keep_id").isNull()).alias("kept"),
     )

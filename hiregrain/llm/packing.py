@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,8 @@ SEPARATOR = 0
 GROUP_SEQUENCES = 2_048
 GROUP_PIECES = 40_000
 CHOICES = 4  # fillings of one sequence that the search may come back to
-STEPS = 400  # steps of one enumeration
-NODES = 20_000  # sequences the search may complete in a group, beyond its first descent
+STEPS = 200  # steps of one enumeration
+NODES = 600  # sequences the search may complete in a group, beyond its first descent
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text", room: int = ROOM, with_ids: bool = False) -> DataFrame:
@@ -91,13 +92,17 @@ def best_fit(sizes: Counter, room: int) -> list[list[int]]:
     return done
 
 
-def dominated(filling: list[int], room: int, sizes: Counter) -> bool:
-    """Whether one piece outside could replace up to two pieces inside, or join them, and waste less."""
+def dominated(filling: list[int], room: int, sizes: Counter, ordered: list[int]) -> bool:
+    """Whether one piece outside could replace up to two pieces inside, or join them, and waste less; ``ordered`` ascends."""
     free = room - sum(filling)
     used = Counter(filling)
-    swaps = {0, *filling, *(a + b for i, a in enumerate(filling) for b in filling[i + 1 :])}
-    outside = [s for s in sizes if sizes[s] > used[s]]
-    return any(0 < s - x <= free for x in swaps for s in outside) if free else False
+    for gone in {0, *filling, *(a + b for i, a in enumerate(filling) for b in filling[i + 1 :])}:
+        at = bisect_left(ordered, gone + 1)
+        while at < len(ordered) and ordered[at] <= gone + free:
+            if sizes[ordered[at]] > used[ordered[at]]:
+                return True
+            at += 1
+    return False
 
 
 def fillings(room: int, ordered: list[int], sizes: Counter, steps: int = STEPS, choices: int = CHOICES) -> list[list[int]]:
@@ -132,7 +137,7 @@ def fillings(room: int, ordered: list[int], sizes: Counter, steps: int = STEPS,
 
     extend(room, len(ordered), [])
     found.sort(key=lambda f: f[0])
-    best = [f for _, f in found if not dominated(f, room, sizes)][:choices]
+    best = list(islice((f for _, f in found if not dominated(f, room, sizes, ordered)), choices))
     return best or [f for _, f in found[:1]] or [[]]
 
 

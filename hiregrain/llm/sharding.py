@@ -5,7 +5,8 @@ the rows, ordered by that number, are cut into runs. A run covers a compact regi
 per-shard ranges of :func:`shard_ranges` let a reader skip files whichever dimension it filters on.
 
 Defined results: a null dimension lies at level 0; null ids come first in their cell; repeated rows get slots of their
-own; an empty table gives no rows; more shards than rows leave shards empty; extra columns are carried along.
+own; an empty table gives no rows; more shards than rows leave shards empty; extra columns are carried along, but for ones
+with the names of the three new columns.
 """
 
 from __future__ import annotations
@@ -93,8 +94,12 @@ def hilbert_shards(df: DataFrame, id_column: str, levels: Mapping[str, Column],
     n = df.count()
     parts = max(8, -(-n // BLOCK_ROWS))
     depth = max(0, bits * len(levels) - COARSE_BITS)
-    keyed = df.withColumn("_cell", hilbert_index(list(levels.values()), bits)).withColumn("_part", F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int"))
-    weight = F.sum(F.coalesce(F.col(size), F.lit(0)))
+    names = [c for c in df.columns if c not in ("_cell", "shard", "slot")]
+    keyed = df.select(  # the input's columns travel inside one struct, where no name can clash
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_in"), F.col(id_column).alias("_id"), F.coalesce(F.col(size), F.lit(0)).alias("_size"),
+        hilbert_index(list(levels.values()), bits).alias("_cell"), F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int").alias("_part"),
+    )
+    weight = F.sum("_size")
     blocks = keyed.groupBy("_cell", "_part").agg(F.count("*").alias("_n"), weight.alias("_w")).withColumn("_coarse", F.shiftright("_cell", depth))
 
     def before(name: str, window) -> Column:
@@ -106,10 +111,10 @@ def hilbert_shards(df: DataFrame, id_column: str, levels: Mapping[str, Column],
     inside = Window.partitionBy("_coarse").orderBy("_cell", "_part")
     starts = blocks.withColumn("_n1", before("_n", inside)).withColumn("_w1", before("_w", inside)).join(F.broadcast(coarse), "_coarse")
     starts = starts.select("_cell", "_part", (F.col("_n0") + F.col("_n1")).alias("_n2"), (F.col("_w0") + F.col("_w1")).alias("_w2"), "_all")
-    order = Window.partitionBy("_cell", "_part").orderBy(*[F.col(c) for c in dict.fromkeys([id_column, size])])
+    order = Window.partitionBy("_cell", "_part").orderBy("_id", "_size")
     placed = keyed.withColumn("_row", F.row_number().over(order) - 1)
     if law == "bytes":
-        placed = placed.withColumn("_w3", F.coalesce(F.sum(F.coalesce(F.col(size), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        placed = placed.withColumn("_w3", F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.join(starts, ["_cell", "_part"]).withColumn("_at", F.col("_n2") + F.col("_row"))
     count, total = F.lit(shards).cast("long"), F.lit(max(n, 1)).cast("long")
     if law == "rows":
@@ -121,7 +126,7 @@ def hilbert_shards(df: DataFrame, id_column: str, levels: Mapping[str, Column],
         placed = placed.withColumn("shard", F.least(F.floor(at).cast("int"), F.lit(shards - 1)))
         first = placed.groupBy("shard").agg(F.min("_at").alias("_first"))  # one row per shard
         placed = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("_at") - F.col("_first"))
-    return placed.select(*df.columns, "_cell", "shard", "slot")
+    return placed.select("_in.*", "_cell", "shard", "slot")
 
 
 def shard_ranges(sharded: DataFrame, columns: list[str]) -> DataFrame:

@@ -231,9 +231,11 @@ def _grouped(docs: DataFrame, id_column: str, text: str, words_per_shingle: int,
     groups = components(links)  # node, component
     linked = values.select("node", "_first").join(groups, "node")
     smallest = linked.groupBy("component").agg(F.min("_first").alias("component_id"))
-    named = materialize(linked.join(smallest, "component").select("node", "component_id"))
-    alone = values.select("node", "_first").join(named, "node", "left").select("node", F.coalesce("component_id", "_first").alias("component_id"))
-    return marked.select(id_column, "node").join(alone, "node").select(id_column, "node", "component_id")
+    named = linked.join(smallest, "component").select("node", "component_id")
+    # Written out, so that the join has an exchange of its own on either side and Spark can split the partition of a
+    # fingerprint that many documents hold.
+    classes = materialize(values.select("node", "_first").join(named, "node", "left").select("node", F.coalesce("component_id", "_first").alias("component_id")))
+    return marked.select(id_column, "node").join(classes, "node").select(id_column, "node", "component_id")
 
 
 def near_duplicates(
