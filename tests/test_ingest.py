@@ -29,6 +29,13 @@ def test_two_key_pass_equals_the_sequential_one(spark, seed):
     assert sorted(r.i for r in keep_first_on_both(df, "i", "a", "b").collect()) == greedy(rows)
 
 
+@pytest.mark.parametrize("length", [24, 2000])
+def test_two_key_chains_take_few_jobs(spark, length):
+    rows = [(i, f"h{(i + 1) // 2}", f"u{i // 2}") for i in range(length)]  # every row shares a key with the one before
+    made = keep_first_on_both(spark.createDataFrame(rows, "i int, a string, b string"), "i", "a", "b")
+    assert sorted(r.i for r in made.collect()) == greedy(rows)
+
+
 def test_components_with_a_hub(spark):
     rnd = random.Random(3)
     rows = [(i, "hub" if i % 3 == 0 else f"k{rnd.randrange(60)}") for i in range(120)] + [(i, f"k{rnd.randrange(60)}") for i in range(0, 120, 5)]
@@ -110,7 +117,7 @@ def test_read_csv_and_json(spark, tmp_path):
         assert [(r.record_no, r.title, r.description) for r in rows] == [(1, "X", "d"), (2, "Y", "e")]
         assert rows[0].required_skills == '["a","b"]' and rows[0].extra == {"salary": "5"}
     (tmp_path / "bad.json").write_text('{"x": 1}')
-    with pytest.raises(Exception, match="list of job objects"):
+    with pytest.raises(Exception, match="list of postings"):
         S.read_postings(spark, str(tmp_path / "bad.json")).collect()
     with pytest.raises(ValueError):
         S.read_postings(spark, "x.txt")
