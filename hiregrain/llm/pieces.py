@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,6 +77,10 @@ class Pieces:
         plain = [b"" if t in (UNKNOWN, CONTROL) else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, _, t in listed]
         self.written = plain
         self.written[self.unknown] = " ⁇ ".encode()  # fixed value: how the public implementation writes it
+        self.machine = ahocorasick.Automaton()
+        for piece in self.ids:
+            self.machine.add_word(piece, piece)
+        self.machine.make_automaton()
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -143,6 +148,30 @@ class Pieces:
                     last = last[cut:]
         yield from self._path(window, back, len(window))
 
+    def _window(self, chunk: str) -> list[int]:
+        """What :meth:`stream` gives for a chunk that fits into one window of a BPE model, without the bookkeeping.
+
+        An automaton lists the pieces that end at each position; exactly one of them is compatible with its predecessor.
+        """
+        pairs, compatible = self.pairs, self._compatible
+        back, last = [-1] * (len(chunk) + 1), [""] * (len(chunk) + 1)
+        back[0] = 0
+        for end, piece in self.machine.iter(chunk):
+            end += 1
+            if back[end] < 0:
+                begin = end - len(piece)
+                if back[begin] >= 0:
+                    known = pairs.get((last[begin], piece))
+                    if known or (known is None and compatible(last[begin], piece)):
+                        back[end], last[end] = begin, piece
+        if min(back) < 0:  # a character outside the vocabulary
+            return list(self.stream(chunk))
+        end, found = len(chunk), []
+        while end:
+            found.append(self.ids[last[end]])
+            end = back[end]
+        return found[::-1]
+
     def _boundary(self, back: list[int]) -> int:
         """Where the paths from all positions that a later piece can start at have met."""
         ends = set(range(max(0, len(back) - self.longest), len(back)))
@@ -172,17 +201,21 @@ class Pieces:
         if not text:
             return b""
         written = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
-        out = []
-        for chunk in self.cut(written):
-            ids = self.known.get(chunk)
-            if ids is None:
-                ids = np.fromiter(self.stream(chunk), dtype="<i4").tobytes()
-                if len(chunk) <= LONGEST_CACHED:
-                    if len(self.known) >= CACHE_CHUNKS:
-                        self.known.clear()
-                    self.known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        chunks = self.cut(written)
+        known = self.known
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+        long = {}
+        for chunk in set(chunks).difference(known):
+            if len(chunk) > LONGEST_CACHED:
+                long[chunk] = np.fromiter(self.stream(chunk), dtype="<i4").tobytes()
+            else:
+                known[chunk] = np.array(self._window(chunk) if self.kind == BPE else list(self.stream(chunk)), dtype="<i4").tobytes()
+        known.update(long)
+        packed = b"".join(map(known.__getitem__, chunks))
+        for chunk in long:  # seldom met again
+            del known[chunk]
+        return packed
 
     # Decoding
 

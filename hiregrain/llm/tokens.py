@@ -41,11 +41,11 @@ class ChunkIds:
                 if packed.itemsize != 4 or array("H", [1]).tobytes() != b"\x01\x00":
                     raise RuntimeError("needs a little-endian machine with 32-bit unsigned ints")
                 (self.known if len(chunk) <= LONGEST else made)[chunk] = packed.tobytes()
-        get = self.known.__getitem__
-        if made:
-            both = self.known | made
-            get = both.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in chunked]
+        self.known.update(made)
+        packed = [b"".join(map(self.known.__getitem__, chunks)) for chunks in chunked]
+        for chunk in made:  # long ones are seldom met again
+            del self.known[chunk]
+        return packed
 
 
 def chunk_ids(path: str) -> ChunkIds:
