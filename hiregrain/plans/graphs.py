@@ -30,8 +30,8 @@ def components(members: DataFrame, node: str = "node", key: str = "key") -> Data
         shared = pairs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         open_pairs = materialize(pairs.join(shared.select("key", "low"), "key"))
         if open_pairs.isEmpty():
-            smallest = materialize(labels.groupBy("label").agg(F.min("node.n").alias("component")))
-            return labels.join(smallest, "label").select(F.col("node.n").alias(node), "component")
+            smallest = materialize(labels.groupBy("label").agg(F.min("node.n").alias("_smallest")))
+            return labels.join(smallest, "label").select(F.col("node.n").alias(node), F.col("_smallest").alias("component"))
         up = materialize(open_pairs.groupBy("label").agg(F.min("low").alias("up")))
         for _ in range(2):
             further = up.select(F.col("label").alias("up"), F.col("up").alias("next"))
