@@ -37,8 +37,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     common = materialize(common.where(F.col("_n") >= min_documents).select("_hash", "_first"))
     dropped = lines.join(common, "_hash").where("_id > _first").groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
     # The input's columns travel inside one struct, where no name can clash.
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_column).alias("_id"), row.alias("_row"), split.alias("_lines"))
-    out = keyed.join(dropped, ["_id", "_row"], "left")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_column).alias("_id"), row.alias("_row"))
+    out = keyed.join(dropped, ["_id", "_row"], "left").withColumn("_lines", F.split(F.coalesce(F.col("_doc").getField(text), F.lit("")), "\n", -1))
     n = F.size("_lines")
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_drop"))
     clean = F.when(F.col("_drop").isNull(), F.col("_doc").getField(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
