@@ -11,8 +11,11 @@ others are verified bit by bit. A list is worked on in blocks of fixed size and
 never all its pairs.
 
 Eight bytes and few bits make the minimum certain (:func:`near_duplicates`). A shingle similarity of 0.8 turns over some
-15 % of all bits, where no number of agreeing bytes is certain; :func:`similar_documents` takes wide fingerprints and so
-many position sets that a linked pair is very likely to share one, and tells similarity by the share of differing bits.
+15 % of all bits, where no number of agreeing bytes is certain, and bits tell similarity badly for few or repeated
+shingles. :func:`similar_documents` therefore compares the sets of distinct shingles themselves. Two sets of Jaccard
+similarity ``t`` share one of the first ``n - ceil(t n) + 1`` shingles of each, in any one order of all shingles; these are
+its postings, those common in a sample last, so that lists are short. Every pair met in a list that sizes and places
+don't rule out is decided by the exact similarity of its sets. The sample changes the cost only, never the result.
 
 Defined results: texts without words (null, empty, white space) have fingerprint zero and are linked like any other;
 equal fingerprints are one node, however many documents hold it; a component's id is the smallest document id in it;
@@ -21,10 +24,9 @@ rows without an id get their component's id too (null if no member has one); ext
 
 from __future__ import annotations
 
-import math
-import random
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiregrain.llm.common import map_texts
+from hiregrain.llm.common import map_texts, whole
 from hiregrain.plans.graphs import components
 from hiregrain.session import materialize
 
@@ -41,9 +43,9 @@ SEED = 42
 BYTES = 8
 BLOCK = 4_096  # fingerprints of one posting list that one task compares with as many others
 CHUNK = 1 << 15  # shingles hashed at a time
-WIDE = 64  # bytes of a wide fingerprint
-WIDE_SETS = 128
 KEY_BYTES = 3
+SAMPLED, COMMON = 4_000, 200_000  # documents sampled for common shingles, and shingles put last; any values give the same result
+SENT = 1_000_000  # text keys sent to every task instead of moving the texts
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # fixed values: the splitmix64 constants
 
 
@@ -100,27 +102,6 @@ def position_sets(agreeing: int, key_bytes: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def spread_sets(width: int, count: int, key_bytes: int) -> list[tuple[int, ...]]:
-    """``count`` different sets of positions, the same on every run, each position used about equally often."""
-    rng, chosen = random.Random(SEED), []
-    while len(chosen) < count:
-        order = rng.sample(range(width), width)
-        chosen += [t for i in range(0, width - key_bytes + 1, key_bytes) if (t := tuple(sorted(order[i : i + key_bytes]))) not in chosen]
-    return chosen[:count]
-
-
-def bits_for_similarity(similarity: float, width: int, slack: float = 0.5) -> int:
-    """Differing bits to expect of two sets of shingles with this Jaccard similarity, plus ``slack`` standard deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(8 * width * share + slack * math.sqrt(8 * width * share * (1 - share)))
-
-
-def agreeing_for_bits(max_bits: int, width: int, slack: float = 3.0) -> int:
-    """Positional bytes that agree if ``max_bits`` bits differ at random, less ``slack`` standard deviations."""
-    share = (1 - max_bits / (8 * width)) ** 8
-    return max(KEY_BYTES, int(width * share - slack * math.sqrt(width * share * (1 - share))))
-
-
 def _postings(values: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
     """``(key, node)`` for every set of positions; the key is the number of the set and the bytes there."""
     places = np.array(sets)
@@ -253,10 +234,181 @@ def near_duplicates(
     return out.select(id_column, F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_documents(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, width: int = WIDE, sets: int = WIDE_SETS, block: int = BLOCK
-) -> DataFrame:
-    """The id and ``component_id`` of every document; linked are documents whose wide fingerprints tell this similarity."""
-    max_bits = bits_for_similarity(similarity, width)
-    out = _grouped(docs, id_column, text, words_per_shingle, width, spread_sets(width, sets, KEY_BYTES), agreeing_for_bits(max_bits, width), max_bits, block)
-    return out.select(id_column, "component_id")
+def shingles(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending; none of a text without words."""
+    line = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not line:
+        return np.zeros(0, "<i8")
+    starts = [0, *(m.end() for m in re.finditer(b" ", line))]
+    ends = [*(s - 1 for s in starts[1:]), len(line)]
+    last = ends[words_per_shingle - 1 :] if len(starts) >= words_per_shingle else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    made = [np.zeros(0, "<u8")]
+    for at in range(0, len(last), CHUNK):
+        made.append(np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], last[at : at + CHUNK], strict=False)], dtype="<u8")))
+    return np.unique(np.concatenate(made).view("<i8"))
+
+
+def _set_node(hashes: np.ndarray) -> int:
+    """The node of a set of shingles."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *arrays]))
+
+
+def _common_shingles(docs: DataFrame, text: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two or more sampled documents hold, ascending, and how many do."""
+    share = SAMPLED / max(1, docs.count())
+    sampled = docs.select(text) if share >= 1 else docs.select(text).sample(share, SEED)
+    exploded = map_texts(sampled, lambda texts, _: {"s": _lists([shingles(x, words_per_shingle) for x in texts])}, "s array<long>", text).select(F.explode("s").alias("s"))
+    held = exploded.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toPandas().sort_values("s")
+    return held["s"].to_numpy(np.int64), held["n"].to_numpy(np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: Fraction, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones, of which a similar set's share one."""
+    keys, counts = common
+    rank = np.zeros(len(hashes), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        rank = np.where(keys[at] == hashes, counts[at], 0)
+    least = -(-len(hashes) * similarity.numerator // similarity.denominator)
+    return hashes[np.lexsort((hashes, rank))][: len(hashes) - least + 1] if len(hashes) else hashes
+
+
+def may_be_similar(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Whether sets of these sizes that share a shingle at these places, and none before, can be similar."""
+    most = np.minimum(size_a - pos_a, size_b - pos_b)
+    return most * (similarity.numerator + similarity.denominator) >= (size_a + size_b) * similarity.numerator
+
+
+def _met_pairs(members: DataFrame, similarity: Fraction) -> DataFrame:
+    """``(a, b)``, ``a < b``: pairs of nodes of one block pair, not yet in one group, that may be similar."""
+    keys = ["key", "_i", "_j"]
+    dealt = members.repartition(*keys).sortWithinPartitions(*keys, "node")
+    columns = ["node", "group", "size", "pos", "_side"]
+
+    def pairs(part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = (part[part[:, 4] == 0], part[part[:, 4] == 1]) if part[:, 4].any() else (part, part)
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for start in range(0, len(left), step):
+            x, y = left[start : start + step, None, :], right[None, :, :]
+            hit = (x[..., 1] != y[..., 1]) & may_be_similar(x[..., 2], x[..., 3], y[..., 2], y[..., 3], similarity)
+            if left is right:
+                hit &= x[..., 0] < y[..., 0]
+            i, j = np.nonzero(hit)
+            a, b = left[start + i, 0], right[j, 0]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_head = np.zeros((0, 5), np.int64), np.zeros((0, 3), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = np.concatenate([held, np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in columns])])
+            held_head = np.concatenate([held_head, np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in keys])])
+            cuts = [0, *(np.flatnonzero((held_head[1:] != held_head[:-1]).any(axis=1)) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from pairs(held[a:b])
+            held, held_head = held[cuts[-1] :], held_head[cuts[-1] :]  # the last list may go on
+        yield from pairs(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, text: str, values: DataFrame, words_per_shingle: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs whose sets of shingles have this similarity."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(values.join(nodes, "node", "left_semi").select("text_key").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            made = []
+            for key, x in zip(batch.column("text_key").to_pylist(), batch.column("_text"), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    made.append(shingles(x.as_py(), words_per_shingle))
+            yield pa.RecordBatch.from_arrays([pa.array([_set_node(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "held"])
+
+    texts = docs.select(F.xxhash64(whole(text)).alias("text_key"), F.col(text).alias("_text")).join(wanted, "text_key", "left_semi")
+    sets = materialize(texts.mapInArrow(hashed, "node long, held binary").dropDuplicates(["node"]))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<i8"), np.frombuffer(y.as_py(), "<i8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared * similarity.denominator >= similarity.numerator * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda n, held: sets.select(F.col("node").alias(n), F.col("held").alias(held))
+    return materialize(pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").mapInArrow(exact, "a long, b long"))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """``(node, group)`` of all nodes that have a link."""
+    members = links.select(F.col("a").alias("node"), F.col("a").alias("key")).union(links.select(F.col("b").alias("node"), F.col("a").alias("key")))
+    return components(members).withColumnRenamed("component", "group")
+
+
+def similar_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """``(id, text_key, group)`` of every row: a hash of its text, and a number shared by all rows connected by similar texts."""
+    wanted = Fraction(str(similarity))
+    if not 0 < wanted <= 1:
+        raise ValueError("similarity is above 0 and at most 1")
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text, words_per_shingle))
+
+    def work(texts: list, batch: pa.RecordBatch) -> dict:
+        made = [shingles(x, words_per_shingle) for x in texts]
+        return {
+            "node": pa.array([_set_node(m) for m in made], pa.int64()),
+            "size": pa.array([len(m) for m in made], pa.int64()),
+            "prefix": _lists([prefix(m, wanted, common.value) for m in made]),
+        }
+
+    keyed = docs.select(F.col(id_column), F.col(text).alias("_text"), F.xxhash64(whole(text)).alias("text_key"))
+    marked = materialize(map_texts(keyed, work, "node long, size long, prefix array<long>", "_text").withColumn("_row", F.monotonically_increasing_id()))
+    one = materialize(marked.groupBy("node").agg(F.min("_row").alias("_row")).select("_row"))
+    few = one.count() <= SENT  # else the prefixes move once
+    values = marked.join(F.broadcast(one) if few else one, "_row", "left_semi").select("node", "text_key", "size", "prefix")
+    values = values if few else materialize(values)
+    postings = values.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    lists = postings.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    met = materialize(postings.join(lists, "key"))  # Spark splits a long list's partition when it joins
+
+    # Every list's nodes are held against its first node, so that a list of many copies is one group by then and its
+    # pairs need no look; then all pairs of a list that are in different groups.
+    most = F.least(F.col("size") - F.col("pos"), F.col("_star.size") - F.col("_star.pos"))
+    stars = met.groupBy("key").agg(F.min(F.struct("node", "size", "pos")).alias("_star"))
+    near = most * (wanted.numerator + wanted.denominator) >= (F.col("size") + F.col("_star.size")) * wanted.numerator
+    first = materialize(met.join(stars, "key").where(F.col("node") != F.col("_star.node")).where(near).select(F.col("_star.node").alias("a"), F.col("node").alias("b")).distinct())
+    links = _similar(first, docs, text, values, words_per_shingle, wanted)
+    grouped = met.join(_joined(links), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = materialize(grouped.select("key", "node", "group", "size", "pos", "_n"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("key")
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    placed = grouped.where("_n > 2").join(mixed, "key").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", own)
+
+    def pair(j):
+        return F.struct(F.least("_own", j).alias("_i"), F.greatest("_own", j).alias("_j"), (F.col("_own") > j).cast("int").alias("_side"))
+
+    dealt = placed.select("key", "node", "group", "size", "pos", F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
+    more = materialize(_met_pairs(dealt, wanted).join(first, ["a", "b"], "left_anti"))
+    links = links.union(_similar(more, docs, text, values, words_per_shingle, wanted))
+    # Written out, so that the join has an exchange of its own on either side and Spark can split the partition of a set
+    # of shingles that many documents hold.
+    classes = materialize(values.select("node").join(_joined(links), "node", "left").select("node", F.coalesce("group", "node").alias("group")))
+    return marked.select(id_column, "text_key", "node").join(classes, "node").select(id_column, "text_key", "group")
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """The id and ``component_id`` of every document; linked are documents of this Jaccard similarity of shingles, and all of them."""
+    rows = materialize(similar_rows(docs, id_column, text, words_per_shingle, similarity, block))
+    smallest = materialize(rows.groupBy("group").agg(F.min(id_column).alias("component_id")))
+    return rows.select(id_column, "group").join(smallest, "group").select(id_column, "component_id")

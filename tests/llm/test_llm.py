@@ -220,6 +220,48 @@ def test_similar_documents_by_shingles(spark):
     assert all(rows[60 + i] == 60 + i for i in range(30))
 
 
+def brute_shingles(text, size=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def brute_similar(texts, least=(4, 5)):
+    """The smallest row number of every row's group: at least four fifths of two sets' shingles are shared."""
+    sets = [brute_shingles(t) for t in texts]
+    alike = lambda a, b: sets[a] == sets[b] or least[1] * len(sets[a] & sets[b]) >= least[0] * len(sets[a] | sets[b]) > 0
+    roots, smallest = brute_components(range(len(texts)), alike), {}
+    for i in range(len(texts)):
+        smallest.setdefault(roots[i], i)
+    return {i: smallest[roots[i]] for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("block", [4_096, 3])
+def test_similar_documents_equal_all_pairs(spark, block):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    say = lambda n: [word() for _ in range(n)]
+    texts = [None, "", " ", "one two", "One  two", "one two three"]
+    for n in (8, 9, 10, 14, 20):  # few shingles: one more word is a similarity of 4/5, 5/6, 6/7 ...
+        w = say(n)
+        texts += [" ".join(w), " ".join([*w, word()]), " ".join([*w, word(), word()])]
+    for n in (40, 104, 400):
+        for _ in range(5):
+            w = say(n)
+            texts.append(" ".join(w))
+            for extra in range(n * 15 // 100, n * 30 // 100, 2):  # similarities on both sides of 0.8
+                texts.append(" ".join([*w, *say(extra)]))
+    passage = " ".join(say(11))
+    for _ in range(4):  # a passage repeated many times and 100 words of its own
+        texts.append(" ".join([passage] * 300 + say(100)))
+    head = " ".join(say(30))
+    texts += [f"{head} {' '.join(say(60))}" for _ in range(20)]  # a common beginning
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(cluttered(table(spark, texts)), block=block).collect()}
+    want = brute_similar(texts)
+    assert got == want
+    assert 20 < len(set(want.values())) < len(texts)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(table(spark, ["a"]).limit(0)).collect() == []
 
