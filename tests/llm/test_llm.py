@@ -634,3 +634,27 @@ def test_pipeline_stages_by_brute_force(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, made, FOLDER).collect()
     assert {r.doc_id for r in packed} == set(texts)
     assert corpus_pipeline.run(spark, FOLDER).count() == len(packed)
+
+
+def test_near_copies_without_and_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    said = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(7)]
+    copy = [f"{s} more" for s in said]
+    rows = [
+        (None, said[0]),  # unique, no id
+        (None, said[1]), (None, copy[1]),  # a group without ids
+        (None, said[2]), (5, copy[2]),  # one of two has an id
+        (6, said[3]), (6, said[3]), (6, said[3]),  # identical rows
+        (7, said[4]), (7, copy[4]), (8, said[4]),  # a near copy with the same id
+        (9, said[5]), (9, said[6]),  # one id, two texts that are not alike
+        (None, None), (None, ""),  # no words
+    ]
+    ids, texts = zip(*rows, strict=True)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table(spark, texts, ids), FOLDER).collect()]
+    groups = Counter()
+    for i, t in kept:
+        assert (i, t) in rows
+        groups[(i, next((n for n, s in enumerate(said) if t and t in (s, copy[n])), None))] += 1
+    assert groups == Counter({(None, 0): 1, (None, 1): 1, (5, 2): 1, (6, 3): 1, (7, 4): 1, (9, 5): 1, (9, 6): 1, (None, None): 1})
