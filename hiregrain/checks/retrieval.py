@@ -357,7 +357,7 @@ def inference_saved_batches(t):
 def search_passages(t):
     """Passages of every document with a header line, as a reranker would read them."""
     headed = t.documents.select("doc_id", F.concat(F.lit("Title: "), "source", F.lit(S.DESCRIPTION), F.regexp_replace("text", r"\s+", " ")).alias("text"))
-    return S.passages(headed)
+    return S.passages(headed, S.chunks(max_chunks=None))
 
 
 # DuckDB's expressions have no lookbehind, so the end of a sentence is marked and then split at.

@@ -162,3 +162,13 @@ def test_sample_does_not_depend_on_order(spark):
     pairs = spark.createDataFrame([(q, d) for q in range(10) for d in range(10)], "query_id int, doc_id int")
     a, b = E.sample_pairs(pairs, 7, 1), E.sample_pairs(pairs.orderBy(F.desc("doc_id")).union(pairs), 7, 1)
     assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 7
+
+
+def test_registered_passages_hold_whole_texts(spark, tmp_path):
+    from hiregrain.checks import retrieval  # noqa: F401
+    from hiregrain.checks.registry import QUERIES
+
+    text = " ".join(f"w{i}." for i in range(2_000))
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    passages = [r.passage for r in QUERIES["search_passages"](spark, str(tmp_path)).collect()]
+    assert set(text.split()) <= {w for p in passages for w in p.split()}
