@@ -54,8 +54,10 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TELLING = re.compile(r"class|id|role|itemprop|hidden|style", re.IGNORECASE)
+NUMBER = re.compile(r"\d{3,}")  # the number of a post, unlike that of a column, is no part of a label
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LABELS_KEPT = 65_536  # by a worker
+DEEPEST = 64  # nodes on a way of the site tree
 NOISE, ARTICLE, MAIN, NAMED, NEUTRAL = "noise", 3, 2, 1, 0
 
 
@@ -74,7 +76,7 @@ def label_of(tag: str, attributes: str) -> tuple[str, str | int]:
         found.setdefault(name.lower(), next((v for v in values if v), ""))
     names = [t for a in ("class", "id", "role") for t in unescape(found.get(a, "")).split()]
     told = {t: _words(t) for t in names}
-    label = " ".join([tag, *sorted({"-".join(w) for w in told.values() if w})])
+    label = " ".join([tag, *sorted({NUMBER.sub("#", t.lower()) for t in names})])
     style = found.get("style", "").replace(" ", "").lower()
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
         return label, NOISE
@@ -131,12 +133,26 @@ class Page:
             stay.append(i in main or (stay[parent] and kind != NOISE if parent >= 0 else not main))
         return stay, bool(main)
 
-    def nodes(self, stay: list[bool]) -> list[int]:
-        """The site tree's node of every branch that stays: the labels on the way down to it."""
+    def nodes(self, stay: list[bool]) -> tuple[list[int], dict[int, list[int]]]:
+        """The site tree's node of every branch that stays, the labels on the way down to it, and the way to every node.
+
+        A branch in one of its own label is the same node, and so are branches that lie deeper than :data:`DEEPEST` nodes.
+        """
         keys: list[int] = []
+        paths: dict[int, list[int]] = {0: []}
         for i, parent in enumerate(self.parents):
-            keys.append(xxhash.xxh64_intdigest(self.labels[i].encode(), keys[parent] if parent >= 0 and stay[parent] else 0) if stay[i] else 0)
-        return keys
+            if not stay[i]:
+                keys.append(0)
+                continue
+            above = keys[parent] if parent >= 0 else 0
+            if above and (self.labels[i] == self.labels[parent] or len(paths[above]) >= DEEPEST):
+                keys.append(above)
+                continue
+            keys.append(xxhash.xxh64_intdigest(self.labels[i].encode(), above) or 1)
+            if keys[i] not in paths:
+                paths[keys[i]] = [*paths[above], keys[i]]
+        del paths[0]
+        return keys, paths
 
 
 def _close_raw(html: str, tag: str, at: int) -> int:

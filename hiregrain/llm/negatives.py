@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from hiregrain.llm.search import quantised
 from hiregrain.plans.skew import top_per_key
+from hiregrain.session import materialize
 
 ANCHOR_BLOCK, CANDIDATE_BLOCK = 8_192, 8_192  # with the next: what one task holds
 ANCHOR_SLICE = 64
@@ -186,7 +187,7 @@ def mine(
     found = left.groupBy(*alike).cogroup(right.groupBy(*alike)).applyInArrow(
         lambda a, c: best_positives(a, c, positives), "anchor_id long, positive_id long, positive_score long"
     )
-    chosen = top_per_key(found, ["anchor_id"], [F.desc("positive_score"), F.asc("positive_id")], positives, "positive_rank")
+    chosen = materialize(top_per_key(found, ["anchor_id"], [F.desc("positive_score"), F.asc("positive_id")], positives, "positive_rank"))
 
     lists = chosen.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_list(F.struct(F.col("positive_rank").alias("rank"), F.col("positive_score").alias("score"))).alias("positives"))
     n, asked = rows.agg(F.count("*"), F.count_if("q")).first()

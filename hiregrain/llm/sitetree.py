@@ -1,7 +1,7 @@
 """Main text of web pages by site style trees.
 
 All pages of a host are merged into one tree. Its element nodes are the ways down a page, label by label (an element with
-its class, id and role, digits aside); its presentation nodes are the sequences of children that an element shows on some page.
+its class, id and role, long numbers aside); its presentation nodes are the sequences of children that an element shows on some page.
 A node matters as far as the site varies it:
 
 - *presentation*: the entropy of its sequences of children over the pages that hold it, relative to evenly spread ones;
@@ -25,6 +25,7 @@ pages with a null or unreadable url form one host; every row gives one row, repe
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,9 +39,10 @@ from hiregrain.llm.markup import Page, read_page
 
 GAMMA = 0.9
 THRESHOLD = 0.2
-FEW, NAMED = 2.0, 20.0  # pseudo-counts: pages it takes to doubt a branch, anonymous or below a named main part
+FEW, NAMED = 4.0, 20.0  # pseudo-counts: pages it takes to doubt a branch, anonymous or below a named main part
 STYLE, TEXT, NODE = 0, 1, 2
 SLICE = 256
+NUMBER = re.compile(r"\d+")
 COUNTS = "site string, page string, kind byte, node long, value long, n long, linked long, named boolean, path array<long>"
 
 
@@ -50,21 +52,17 @@ def _signed(x: int) -> int:
 
 def _feature(text: str) -> int:
     """A block's text without case, and with all numbers alike: dates and counters don't make boilerplate differ."""
-    return xxhash.xxh64_intdigest("".join("0" if c.isdigit() else c for c in text.lower()).encode("utf-8", "replace"))
+    return xxhash.xxh64_intdigest(NUMBER.sub("0", text.lower()).encode("utf-8", "replace"))
 
 
 def page_counts(page: Page) -> Iterator[tuple]:
     """What a page adds to its site's tree: ``kind``, ``node``, ``value``, ``n``, ``linked``, ``named``, ``path``."""
     stay, named = page.kept()
-    keys = page.nodes(stay)
+    keys, paths = page.nodes(stay)
     children: list[list[str]] = [[] for _ in keys]
-    paths: dict[int, list[int]] = {}
     for i, parent in enumerate(page.parents):
-        if stay[i]:
-            above = paths[keys[parent]] if parent >= 0 and stay[parent] else []
-            paths.setdefault(keys[i], [*above, keys[i]])
-            if above:
-                children[parent].append(page.labels[i])
+        if stay[i] and parent >= 0 and stay[parent]:
+            children[parent].append(page.labels[i])
     styles = Counter((keys[i], xxhash.xxh64_intdigest("\n".join(c).encode())) for i, c in enumerate(children) if stay[i])
     texts: Counter = Counter()
     chars: Counter = Counter()
@@ -164,7 +162,7 @@ def style_tree(counts: DataFrame) -> DataFrame:
 def main_text(page: Page, noisy: set[int]) -> str:
     """The blocks that labels and the site's tree leave, in page order."""
     stay, _ = page.kept()
-    keys = page.nodes(stay)
+    keys, _ = page.nodes(stay)
     return " ".join(text for branch, text, _ in page.blocks if stay[branch] and keys[branch] not in noisy)
 
 
