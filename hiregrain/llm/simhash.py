@@ -15,7 +15,9 @@ Eight bytes and few bits make the minimum certain (:func:`near_duplicates`). A s
 shingles. :func:`similar_documents` therefore compares the sets of distinct shingles themselves. Two sets of Jaccard
 similarity ``t`` share one of the first ``n - ceil(t n) + 1`` shingles of each, in any one order of all shingles; these are
 its postings, those common in a sample last, so that lists are short. Every pair met in a list that sizes and places
-don't rule out is decided by the exact similarity of its sets. The sample changes the cost only, never the result.
+don't rule out is decided by the exact similarity of its sets, unless signatures tell before that they share too little: a set's
+signature counts its shingles by the leading bits of their hashes, and two sets share at most the sum of the lesser counts.
+The sample changes the cost only, never the result.
 
 Defined results: texts without words (null, empty, white space) have fingerprint zero and are linked like any other;
 equal fingerprints are one node, however many documents hold it; a component's id is the smallest document id in it;
@@ -32,10 +34,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiregrain.llm.common import map_texts, whole
+from hiregrain.llm.common import map_texts, whole, written
 from hiregrain.plans.graphs import components
 from hiregrain.session import materialize
 
@@ -45,7 +47,10 @@ BLOCK = 4_096  # fingerprints of one posting list that one task compares with as
 CHUNK = 1 << 15  # shingles hashed at a time
 KEY_BYTES = 3
 SAMPLED, COMMON = 4_000, 200_000  # documents sampled for common shingles, and shingles put last; any values give the same result
-SENT = 1_000_000  # text keys sent to every task instead of moving the texts
+HOT = 16  # sampled documents that make a shingle's list one to be cut before it is gathered
+GATHERED = 1 << 16  # rows of a cut list in one task, on average, if every document were in it
+TEXTS = 64  # whose sets of shingles a task holds at a time
+CELL = 6  # shingles of a set per count of its signature, at most
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # fixed values: the splitmix64 constants
 
 
@@ -258,24 +263,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *arrays]))
 
 
-def _common_shingles(docs: DataFrame, text: str, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(docs: DataFrame, text: str, words_per_shingle: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that two or more sampled documents hold, ascending, and how many do."""
-    share = SAMPLED / max(1, docs.count())
+    share = SAMPLED / max(1, n)
     sampled = docs.select(text) if share >= 1 else docs.select(text).sample(share, SEED)
     exploded = map_texts(sampled, lambda texts, _: {"s": _lists([shingles(x, words_per_shingle) for x in texts])}, "s array<long>", text).select(F.explode("s").alias("s"))
     held = exploded.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toPandas().sort_values("s")
     return held["s"].to_numpy(np.int64), held["n"].to_numpy(np.int64)
 
 
-def prefix(hashes: np.ndarray, similarity: Fraction, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a set, rare ones before common ones, of which a similar set's share one."""
+def prefix(hashes: np.ndarray, similarity: Fraction, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rare ones before common ones, of which a similar set's share one; and how many come before very common ones."""
     keys, counts = common
     rank = np.zeros(len(hashes), np.int64)
     if len(keys):
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         rank = np.where(keys[at] == hashes, counts[at], 0)
     least = -(-len(hashes) * similarity.numerator // similarity.denominator)
-    return hashes[np.lexsort((hashes, rank))][: len(hashes) - least + 1] if len(hashes) else hashes
+    first = np.lexsort((hashes, rank))[: len(hashes) - least + 1] if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], int((rank[first] < HOT).sum())
 
 
 def may_be_similar(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray, similarity: Fraction) -> np.ndarray:
@@ -284,59 +290,109 @@ def may_be_similar(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, po
     return most * (similarity.numerator + similarity.denominator) >= (size_a + size_b) * similarity.numerator
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """How many of a set's shingles have which leading bits; the set's size decides how many bits. 255 stands for any more."""
+    bits = max(3, (len(hashes) // CELL).bit_length())
+    cells = (hashes.view("<u8") >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_share_enough(left: list[bytes], right: list[bytes], sizes: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Whether the sets of these signatures can be similar; ``sizes`` are the sums of both sets' sizes."""
+    most = np.zeros(len(left), np.int64)
+    levels = np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64)
+    for level in np.unique(levels).tolist():
+        at = np.flatnonzero(levels == level)
+        step = max(1, (1 << 22) // level)
+        for start in range(0, len(at), step):
+            part = at[start : start + step]
+            shared = np.minimum(_folded([left[i] for i in part], level), _folded([right[i] for i in part], level))
+            most[part] = np.where((shared >= 255).any(axis=1), 1 << 40, shared.sum(axis=1))
+    return most * (similarity.numerator + similarity.denominator) >= sizes * similarity.numerator
+
+
+def _folded(signatures: list[bytes], level: int) -> np.ndarray:
+    """The signatures by as few leading bits as ``level`` counts need."""
+    made = np.zeros((len(signatures), level), np.int64)
+    for length in {len(x) for x in signatures}:
+        at = [i for i, x in enumerate(signatures) if len(x) == length]
+        cells = np.frombuffer(b"".join(signatures[i] for i in at), np.uint8).reshape(len(at), level, -1).astype(np.int64)
+        made[at] = np.where(cells == 255, 1 << 20, cells).sum(axis=2)
+    return made
+
+
 def _met_pairs(members: DataFrame, similarity: Fraction) -> DataFrame:
     """``(a, b)``, ``a < b``: pairs of nodes of one block pair, not yet in one group, that may be similar."""
     keys = ["key", "_i", "_j"]
     dealt = members.repartition(*keys).sortWithinPartitions(*keys, "node")
     columns = ["node", "group", "size", "pos", "_side"]
 
-    def pairs(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        left, right = (part[part[:, 4] == 0], part[part[:, 4] == 1]) if part[:, 4].any() else (part, part)
+    def pairs(part: np.ndarray, signatures: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sides = (np.flatnonzero(part[:, 4] == 0), np.flatnonzero(part[:, 4] == 1)) if part[:, 4].any() else (np.arange(len(part)),) * 2
+        left, right = part[sides[0]], part[sides[1]]
         step = max(1, (1 << 20) // max(1, len(right)))
         for start in range(0, len(left), step):
             x, y = left[start : start + step, None, :], right[None, :, :]
             hit = (x[..., 1] != y[..., 1]) & may_be_similar(x[..., 2], x[..., 3], y[..., 2], y[..., 3], similarity)
-            if left is right:
+            if sides[0] is sides[1]:
                 hit &= x[..., 0] < y[..., 0]
             i, j = np.nonzero(hit)
-            a, b = left[start + i, 0], right[j, 0]
+            i += start
+            stay = may_share_enough(signatures[sides[0][i]].tolist(), signatures[sides[1][j]].tolist(), left[i, 2] + right[j, 2], similarity)
+            a, b = left[i[stay], 0], right[j[stay], 0]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_head = np.zeros((0, 5), np.int64), np.zeros((0, 3), np.int64)
+        held, held_head, held_signs = np.zeros((0, 5), np.int64), np.zeros((0, 3), np.int64), np.zeros(0, object)
         for batch in batches:
             if not batch.num_rows:
                 continue
             held = np.concatenate([held, np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in columns])])
             held_head = np.concatenate([held_head, np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in keys])])
+            held_signs = np.concatenate([held_signs, np.array([*batch.column("sign").to_pylist(), None], object)[:-1]])
             cuts = [0, *(np.flatnonzero((held_head[1:] != held_head[:-1]).any(axis=1)) + 1).tolist()]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                yield from pairs(held[a:b])
-            held, held_head = held[cuts[-1] :], held_head[cuts[-1] :]  # the last list may go on
-        yield from pairs(held)
+                yield from pairs(held[a:b], held_signs[a:b])
+            held, held_head, held_signs = held[cuts[-1] :], held_head[cuts[-1] :], held_signs[cuts[-1] :]  # the last list may go on
+        yield from pairs(held, held_signs)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _plausible(pairs: DataFrame, values: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs whose signatures don't rule them out."""
+
+    def side(n: str) -> DataFrame:
+        return values.select(F.col("node").alias(n), F.col("size").alias(f"_size_{n}"), F.col("sign").alias(f"_sign_{n}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("_size_a").to_numpy() + batch.column("_size_b").to_numpy()
+            stay = may_share_enough(batch.column("_sign_a").to_pylist(), batch.column("_sign_b").to_pylist(), sizes, similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, text: str, values: DataFrame, words_per_shingle: int, similarity: Fraction) -> DataFrame:
     """Those of the pairs whose sets of shingles have this similarity."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(values.join(nodes, "node", "left_semi").select("text_key").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    wanted = written(values.join(nodes, "node", "left_semi").select("text_key").distinct())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            made = []
-            for key, x in zip(batch.column("text_key").to_pylist(), batch.column("_text"), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    made.append(shingles(x.as_py(), words_per_shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([_set_node(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "held"])
+            for start in range(0, batch.num_rows, TEXTS):
+                part, made = batch.slice(start, TEXTS), []
+                for key, x in zip(part.column("text_key").to_pylist(), part.column("_text"), strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        made.append(shingles(x.as_py(), words_per_shingle))
+                yield pa.RecordBatch.from_arrays([pa.array([_set_node(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "held"])
 
     texts = docs.select(F.xxhash64(whole(text)).alias("text_key"), F.col(text).alias("_text")).join(wanted, "text_key", "left_semi")
-    sets = materialize(texts.mapInArrow(hashed, "node long, held binary").dropDuplicates(["node"]))
+    sets = written(texts.mapInArrow(hashed, "node long, held binary").dropDuplicates(["node"]))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,43 +418,49 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     wanted = Fraction(str(similarity))
     if not 0 < wanted <= 1:
         raise ValueError("similarity is above 0 and at most 1")
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text, words_per_shingle))
+    n = docs.count()
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text, words_per_shingle, n))
 
     def work(texts: list, batch: pa.RecordBatch) -> dict:
         made = [shingles(x, words_per_shingle) for x in texts]
+        first, cold = zip(*[prefix(m, wanted, common.value) for m in made]) if made else ([], [])
         return {
             "node": pa.array([_set_node(m) for m in made], pa.int64()),
             "size": pa.array([len(m) for m in made], pa.int64()),
-            "prefix": _lists([prefix(m, wanted, common.value) for m in made]),
+            "prefix": _lists(list(first)),
+            "cold": pa.array(cold, pa.int32()),
+            "sign": pa.array([signature(m) for m in made], pa.binary()),
         }
 
     keyed = docs.select(F.col(id_column), F.col(text).alias("_text"), F.xxhash64(whole(text)).alias("text_key"))
-    marked = materialize(map_texts(keyed, work, "node long, size long, prefix array<long>", "_text").withColumn("_row", F.monotonically_increasing_id()))
-    one = materialize(marked.groupBy("node").agg(F.min("_row").alias("_row")).select("_row"))
-    few = one.count() <= SENT  # else the prefixes move once
-    values = marked.join(F.broadcast(one) if few else one, "_row", "left_semi").select("node", "text_key", "size", "prefix")
-    values = values if few else materialize(values)
-    postings = values.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-    met = materialize(postings.join(lists, "key"))  # Spark splits a long list's partition when it joins
+    marked = written(map_texts(keyed, work, "node long, size long, prefix array<long>, cold int, sign binary", "_text", TEXTS).withColumn("_row", F.monotonically_increasing_id()))
+    one = written(marked.groupBy("node").agg(F.min("_row").alias("_row")).select("_row"))
+    values = marked.join(one, "_row", "left_semi").select("node", "text_key", "size", "prefix", "cold", "sign")
+    postings = values.select("node", "size", "cold", F.posexplode("prefix").alias("pos", "key"))
+    # One shuffle gathers the lists. Those that the sample tells to be long are cut, each part in a task of its own; rows that
+    # nobody shares a shingle with go here.
+    cut = F.when(F.col("pos") >= F.col("cold"), 1 + F.pmod("node", F.lit(-(-n // GATHERED)))).otherwise(0)
+    alike = Window.partitionBy("key", "_cut")
+    listed = postings.select("key", cut.alias("_cut"), "node", "size", "pos").select("*", F.count("*").over(alike).alias("_n"), F.min(F.struct("node", "size", "pos")).over(alike).alias("_star"))
+    met = written(listed.where("_n > 1 or _cut > 0"))
 
     # Every list's nodes are held against its first node, so that a list of many copies is one group by then and its
     # pairs need no look; then all pairs of a list that are in different groups.
     most = F.least(F.col("size") - F.col("pos"), F.col("_star.size") - F.col("_star.pos"))
-    stars = met.groupBy("key").agg(F.min(F.struct("node", "size", "pos")).alias("_star"))
     near = most * (wanted.numerator + wanted.denominator) >= (F.col("size") + F.col("_star.size")) * wanted.numerator
-    first = materialize(met.join(stars, "key").where(F.col("node") != F.col("_star.node")).where(near).select(F.col("_star.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _similar(first, docs, text, values, words_per_shingle, wanted)
-    grouped = met.join(_joined(links), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    grouped = materialize(grouped.select("key", "node", "group", "size", "pos", "_n"))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("key")
+    first = materialize(met.where(F.col("node") != F.col("_star.node")).where(near).select(F.col("_star.node").alias("a"), F.col("node").alias("b")).distinct())
+    links = _similar(materialize(_plausible(first, values, wanted)), docs, text, values, words_per_shingle, wanted)
+    rest = met.where("_n > 2 or _cut > 0").select("key", "node", "size", "pos")  # a list of two has been looked at
+    grouped = materialize(rest.join(_joined(links), "node", "left").withColumn("group", F.coalesce("group", "node")))
+    lists = grouped.groupBy("key").agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.count("*").alias("_n"))
+    mixed = lists.where("_low < _high").select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    placed = grouped.where("_n > 2").join(mixed, "key").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", own)
+    placed = grouped.join(mixed, "key").withColumn("_own", own).join(values.select("node", "sign"), "node")
 
     def pair(j):
         return F.struct(F.least("_own", j).alias("_i"), F.greatest("_own", j).alias("_j"), (F.col("_own") > j).cast("int").alias("_side"))
 
-    dealt = placed.select("key", "node", "group", "size", "pos", F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
+    dealt = placed.select("key", "node", "group", "size", "pos", "sign", F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
     more = materialize(_met_pairs(dealt, wanted).join(first, ["a", "b"], "left_anti"))
     links = links.union(_similar(more, docs, text, values, words_per_shingle, wanted))
     # Written out, so that the join has an exchange of its own on either side and Spark can split the partition of a set
