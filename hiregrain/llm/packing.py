@@ -1,8 +1,9 @@
 """Packing documents into as few sequences as possible by bin completion.
 
 A document's ids plus a separator are cut, from the end, into pieces of one sequence's length; the first piece may be
-shorter. Pieces are dealt to groups of bounded size by hash, and every group is packed by itself: only its last
-sequences can be less than full, so the loss is about half a sequence per group of ``GROUP_SEQUENCES``.
+shorter. Pieces are dealt to groups of bounded size by hash, and every group is packed by itself. What each group
+leaves far from full is pooled with what the others leave and packed again, in groups of such sequences, so that dealing costs
+next to nothing.
 
 Inside a group, sequences are completed around the largest piece that is left. Fillings of its remaining room are enumerated
 largest piece first; a filling is kept only if no other dominates it (a piece outside could take the place of smaller
@@ -19,12 +20,13 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiregrain.llm.common import map_texts
@@ -37,6 +39,7 @@ GROUP_SEQUENCES = 2_048
 GROUP_PIECES = 40_000
 CHOICES = 4  # fillings of one sequence that the search may come back to
 STEPS = 200  # steps of one enumeration
+OPEN = 8  # sequences with an eighth or more left are packed again with those of other groups
 NODES = 600  # sequences the search may complete in a group, beyond its first descent
 
 
@@ -105,14 +108,27 @@ def dominated(filling: list[int], room: int, sizes: Counter, ordered: list[int])
     return False
 
 
+def greedy(room: int, ordered: list[int], sizes: Counter) -> list[int]:
+    """The largest piece that fits, as often as it does, then the next: one step a size, however many pieces."""
+    chosen: list[int] = []
+    at = len(ordered)
+    while room and (at := bisect_left(ordered, room + 1, 0, at) - 1) >= 0:
+        size = ordered[at]
+        times = min(sizes[size], room // size)
+        chosen += [size] * times
+        room -= size * times
+    return chosen
+
+
 def fillings(room: int, ordered: list[int], sizes: Counter, steps: int = STEPS, choices: int = CHOICES) -> list[list[int]]:
     """Undominated fillings of ``room`` by pieces of ``sizes`` (``ordered`` ascending), least waste first.
 
-    Depth first, largest piece first. The first leaf is the greedy one; a filling without waste ends the enumeration, and
+    Depth first, largest piece first. The greedy filling is always among them; one without waste ends the enumeration, and
     after ``steps`` the best ones met so far are given.
     """
-    found: list[tuple[int, list[int]]] = []
-    budget = [steps]
+    first = greedy(room, ordered, sizes)
+    found = [(room - sum(first), first)]
+    budget = [0 if sum(first) == room else steps]
 
     def extend(left: int, top: int, chosen: list[int]) -> bool:
         if budget[0] <= 0:
@@ -130,7 +146,7 @@ def fillings(room: int, ordered: list[int], sizes: Counter, steps: int = STEPS,
                 if over:
                     return True
             at -= 1
-        if leaf:
+        if leaf and chosen != first:
             found.append((left, chosen.copy()))
             return left == 0
         return False
@@ -138,7 +154,7 @@ def fillings(room: int, ordered: list[int], sizes: Counter, steps: int = STEPS,
     extend(room, len(ordered), [])
     found.sort(key=lambda f: f[0])
     best = list(islice((f for _, f in found if not dominated(f, room, sizes, ordered)), choices))
-    return best or [f for _, f in found[:1]] or [[]]
+    return best or [f for _, f in found[:1]]
 
 
 def bin_completion(sizes: Counter, room: int, nodes: int = NODES) -> list[list[int]]:
@@ -199,31 +215,52 @@ def bin_completion(sizes: Counter, room: int, nodes: int = NODES) -> list[list[i
     return incumbent
 
 
+def _placed(table: pd.DataFrame, room: int, order: list[str]) -> pd.DataFrame:
+    """The pieces of one group with ``_number`` (of their sequence), ``offset`` and ``_waste`` (of their sequence)."""
+    table = table.sort_values(["length", *order], kind="stable").reset_index(drop=True)
+    where: dict[int, list[int]] = {}
+    for at, size in enumerate(table["length"].tolist()):
+        where.setdefault(size, []).append(at)
+    number, offset, waste = (np.zeros(len(table), np.int64) for _ in range(3))
+    for sequence, sizes in enumerate(bin_completion(Counter(table["length"].tolist()), room)):
+        place = 0
+        for size in sizes:
+            at = where[size].pop()
+            number[at], offset[at], waste[at] = sequence, place, room - sum(sizes)
+            place += size
+    return table.assign(_number=number, offset=offset, _waste=waste)
+
+
 def pack(made: DataFrame, room: int = ROOM, id_column: str = "doc_id") -> DataFrame:
     """``made`` (see :func:`pieces`) with ``sequence_id`` and ``offset`` (gapless from 0 in its sequence)."""
     tokens, rows = made.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(tokens or 0) // (room * GROUP_SEQUENCES)), -(-rows // GROUP_PIECES))
     dealt = made.withColumn("_group", F.pmod(F.xxhash64(id_column, "piece", "length", "ids_crc32"), F.lit(groups)))
-    names = made.columns
+    names, order = made.columns, [id_column, "piece"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema) + ", sequence_id long, offset long"
 
     def pack_group(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["length", id_column, "piece"], kind="stable").reset_index(drop=True)
-        where: dict[int, list[int]] = {}
-        for at, size in enumerate(table["length"].tolist()):
-            where.setdefault(size, []).append(at)
-        sequence, offset = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
-        for number, sizes in enumerate(bin_completion(Counter(table["length"].tolist()), room)):
-            place = 0
-            for size in sizes:
-                at = where[size].pop()
-                sequence[at], offset[at] = number, place
-                place += size
-        table["sequence_id"] = sequence + (table["_group"].to_numpy() << 32)
-        table["offset"] = offset
-        return table[[*names, "sequence_id", "offset"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
-    return dealt.groupBy("_group").applyInPandas(pack_group, f"{schema}, sequence_id long, offset long")
+        table = _placed(table, room, order)
+        table["sequence_id"] = table["_number"] + (table["_group"].to_numpy() << 32)
+        return table[[*names, "sequence_id", "offset", "_waste"]]
+
+    packed = dealt.groupBy("_group").applyInPandas(pack_group, f"{schema}, _waste long")
+    if groups == 1:
+        return packed.drop("_waste")
+    packed = materialize(packed)
+    open_ones = F.col("_waste") * OPEN >= room
+    left, left_rows = packed.where(open_ones).agg(F.count_distinct("sequence_id"), F.count("*")).first()
+    pools = max(1, -(-left // GROUP_SEQUENCES), -(-left_rows // GROUP_PIECES))
+
+    def pack_pool(table: pd.DataFrame) -> pd.DataFrame:
+        again = _placed(table.drop(columns=["offset"]), room, order)
+        if again["_number"].nunique() >= table["sequence_id"].nunique():
+            return table[[*names, "sequence_id", "offset"]]
+        again["sequence_id"] = -1 - again["_number"] - (again["_pool"].to_numpy() << 32)
+        return again[[*names, "sequence_id", "offset"]]
+
+    pooled = packed.where(open_ones).drop("_waste").withColumn("_pool", F.pmod(F.xxhash64("sequence_id"), F.lit(pools)))
+    return packed.where(~open_ones).drop("_waste").unionByName(pooled.groupBy("_pool").applyInPandas(pack_pool, schema))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, room: int = ROOM, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,9 +268,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = ROOM, id_column:
     return pack(materialize(pieces(docs, tokenizer, id_column, text, room)), room, id_column)
 
 
+def _same(columns: list[str]) -> Column:
+    """Whether both sides of a join agree, nulls included."""
+    return reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"i.{c}")) for c in columns])
+
+
 def sequences(packed: DataFrame, docs: DataFrame, tokenizer: str, room: int = ROOM, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The sequences themselves: ``sequence_id``, ``ids`` and the documents' ``starts``; at most ``room`` ids each."""
-    ids = pieces(docs, tokenizer, id_column, text, room, with_ids=True).select(id_column, "piece", "ids").dropDuplicates([id_column, "piece"])
-    rows = packed.join(ids, [id_column, "piece"])
+    # An id may be repeated, with other texts too: a piece is known by all that was told of it.
+    known = [id_column, "piece", "start", "length", "ids_crc32"]
+    ids = pieces(docs, tokenizer, id_column, text, room, with_ids=True).select(*known, "ids").dropDuplicates(known)
+    rows = packed.alias("p").join(ids.alias("i"), _same(known)).select("p.sequence_id", "p.offset", "i.ids")
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return rows.groupBy("sequence_id").agg(parts.alias("_parts")).select("sequence_id", F.flatten("_parts.ids").alias("ids"), F.col("_parts.offset").alias("starts"))

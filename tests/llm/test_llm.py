@@ -414,6 +414,42 @@ def test_dominated_fillings():
     assert packing.dominated([3], 10, Counter([3, 7]), [3, 7])
 
 
+def test_fillings_of_many_tiny_pieces():
+    assert packing.fillings(2000, [1], Counter({1: 5000})) == [[1] * 2000]
+    assert packing.fillings(2000, [1, 7], Counter({1: 5000, 7: 100})) == [[7] * 100 + [1] * 1300]
+
+
+def test_search_wins_inside_pack(spark, monkeypatch):
+    """Sizes that best fit needs one sequence more for, and groups so small that dealing alone would cost many."""
+    rng = random.Random(11)
+    lost = won = 0
+    for _ in range(60):
+        sizes = Counter(rng.randint(3, 12) for _ in range(18))
+        best, made = len(packing.best_fit(sizes, 20)), len(packing.bin_completion(sizes, 20))
+        lost, won = lost + (best > packing.lower_bound(sizes, 20)), won + (made < best)
+    assert 0 < won <= lost
+    pieces = [(i, 0, 0, rng.randint(200, 1500), i) for i in range(3_000)]
+    table = spark.createDataFrame(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(packing, "GROUP_SEQUENCES", 64)
+    rows = packing.pack(table).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == sorted((p[0], p[3]) for p in pieces)
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= packing.ROOM
+    groups = -(-sum(p[3] for p in pieces) // (packing.ROOM * 64))
+    assert len(fill) <= packing.lower_bound(Counter(p[3] for p in pieces), packing.ROOM) * 1.02 and groups > 10
+
+
+def test_sequences_of_repeated_ids(spark):
+    docs = table(spark, ["one text", "another and longer text", "one text", None], [1, 1, 1, None])
+    file = path(checks.BYTE_BPE)
+    packed = packing.pack_documents(docs, file)
+    encode = packing.chunk_ids(file).encode
+    want = sorted(x for t in ("one text", "another and longer text", "one text", "") for x in [*np.frombuffer(encode([t])[0], "<u4").tolist(), 0])
+    assert sorted(x for r in packing.sequences(packed, docs, file).collect() for x in r.ids) == want
+
+
 def test_packed_documents(spark):
     import tokenizers
 
@@ -448,9 +484,11 @@ def test_packed_documents(spark):
     assert packing.pack_documents(docs.limit(0), file).collect() == []
 
 
-def test_chunked_ids_equal_whole_ids():
+def test_ranked_ids_equal_the_general_encoder():
     encoder = ChunkIds(path(checks.BYTE_BPE))
     odd = ["a  b\n\n c\t\tx \n", "  ", " x\x1c!\x1c! y", "it's  'll <|endoftext|> \n<|endoftext|>a", "漢字　テスト   x\x85y \xa0\xa0z", "!!  !\r\n\r\n", *[t or "" for t in ODD]]
+    odd += ["a" + " " * 300_000 + "b", "\n" * 60_000, "c" * 200_000, "\ud83d\ude00 e\u0301".encode("utf-16", "surrogatepass").decode("utf-16")]
+    assert encoder.ranked is not None
     for text, packed in zip(odd, encoder.encode(odd), strict=True):
         assert np.frombuffer(packed, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
