@@ -83,6 +83,27 @@ def test_streaming_quota_equals_batch(spark, tmp_path):
     assert got == replay([(c, i, s * Q.MICROS) for c, i, s in calls if i != 999], 2, 60)
 
 
+def test_streaming_quota_goes_on_after_a_restart(spark, tmp_path):
+    rnd = random.Random(9)
+    calls = [(f"c{rnd.randrange(2)}", i, 1000 + i * 3 + rnd.randrange(20)) for i in range(120)] + [("flush", 999, 100_000)]
+    rows = spark.createDataFrame(calls, "client string, call_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+
+    def run(name):
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = (
+            stream_quota(stream, 3, 40).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / "ck")).start()
+        )
+        query.processAllAvailable()
+        query.stop()
+
+    for part, chosen in enumerate((F.col("call_id") < 50, F.col("call_id").between(50, 90), F.col("call_id") > 90)):
+        rows.where(chosen).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+        run(part)
+    got = [(r.call_id, r.wait) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.call_id != 999]
+    assert len(got) == 120 and dict(got) == replay([(c, i, s * Q.MICROS) for c, i, s in calls if i != 999], 3, 40)
+
+
 def test_streaming_import_stores_once(spark, tmp_path):
     schema = "record_no long, title string, description string, required_skills string"
     for part in range(2):
