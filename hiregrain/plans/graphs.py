@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiregrain.session import materialize
+from hiregrain.session import materialize, written
 
 ROUNDS = 4  # of the two-key pass, before what is left is walked group by group
 
@@ -24,20 +24,20 @@ def components(members: DataFrame, node: str = "node", key: str = "key") -> Data
     """
     label = F.struct(F.xxhash64(node).alias("h"), F.col(node).alias("n"))
     links = members.select(label.alias("label"), F.col(key).alias("key")).distinct()
-    pairs = materialize(links)
+    pairs = written(links)
     labels = pairs.select(F.col("label").alias("node"), "label").distinct()
     while True:
         shared = pairs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        open_pairs = materialize(pairs.join(shared.select("key", "low"), "key"))
+        open_pairs = written(pairs.join(shared.select("key", "low"), "key"))
         if open_pairs.isEmpty():
-            smallest = materialize(labels.groupBy("label").agg(F.min("node.n").alias("_smallest")))
+            smallest = written(labels.groupBy("label").agg(F.min("node.n").alias("_smallest")))
             return labels.join(smallest, "label").select(F.col("node.n").alias(node), F.col("_smallest").alias("component"))
-        up = materialize(open_pairs.groupBy("label").agg(F.min("low").alias("up")))
+        up = written(open_pairs.groupBy("label").agg(F.min("low").alias("up")))
         for _ in range(2):
             further = up.select(F.col("label").alias("up"), F.col("up").alias("next"))
             up = up.join(further, "up", "left").select("label", F.coalesce("next", "up").alias("up"))
-        up = materialize(up)
-        labels = materialize(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        up = written(up)
+        labels = written(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
         pairs = open_pairs.join(up, "label").select(F.col("up").alias("label"), "key").distinct()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back, so a lost executor costs no replay."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like :func:`materialize`, as a compressed table with its true size.
+
+    A checkpoint keeps the size that the optimizer guessed for its plan, a join's being the product of both sides. In a loop such
+    guesses multiply without end; what a loop carries from round to round is written. Placement by key is lost.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
