@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 from types import ModuleType
 from typing import Any
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hiregrain.session import shared_folder
+from hiregrain.session import written  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"  # fixed values
 WHITE = " \t\n\x0b\f\r"  # fixed value: [\x20\x09-\x0D]
@@ -59,10 +58,3 @@ def map_texts(df: DataFrame, work: Callable[[list, pa.RecordBatch], dict[str, li
                 )
 
     return df.mapInArrow(run, full)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: compressed, and joined by its known size."""
-    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)

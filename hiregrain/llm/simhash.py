@@ -50,7 +50,10 @@ SAMPLED, COMMON = 4_000, 200_000  # documents sampled for common shingles, and s
 HOT = 16  # sampled documents that make a shingle's list one to be cut before it is gathered
 GATHERED = 1 << 16  # rows of a cut list in one task, on average, if every document were in it
 TEXTS = 64  # whose sets of shingles a task holds at a time
-CELL = 6  # shingles of a set per count of its signature, at most
+TURNS = 8  # nodes that every list is held against at most before all its pairs in different groups are formed
+APART = 4  # such pairs per row that are formed without another turn; any values of these three give the same result
+FALL = 0.75  # share of such pairs that a turn must bring them down to for another one
+CELL = 1  # shingles of a set per count of its signature, at most
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # fixed values: the splitmix64 constants
 
 
@@ -303,20 +306,20 @@ def may_share_enough(left: list[bytes], right: list[bytes], sizes: np.ndarray, s
     levels = np.array([min(len(x), len(y)) for x, y in zip(left, right)], np.int64)
     for level in np.unique(levels).tolist():
         at = np.flatnonzero(levels == level)
-        step = max(1, (1 << 22) // level)
+        step = max(1, (1 << 20) // level)
         for start in range(0, len(at), step):
             part = at[start : start + step]
             shared = np.minimum(_folded([left[i] for i in part], level), _folded([right[i] for i in part], level))
-            most[part] = np.where((shared >= 255).any(axis=1), 1 << 40, shared.sum(axis=1))
+            most[part] = np.where((shared >= 255).any(axis=1), 1 << 40, shared.sum(axis=1, dtype=np.int64))
     return most * (similarity.numerator + similarity.denominator) >= sizes * similarity.numerator
 
 
 def _folded(signatures: list[bytes], level: int) -> np.ndarray:
     """The signatures by as few leading bits as ``level`` counts need."""
-    made = np.zeros((len(signatures), level), np.int64)
+    made = np.zeros((len(signatures), level), np.int32)
     for length in {len(x) for x in signatures}:
         at = [i for i, x in enumerate(signatures) if len(x) == length]
-        cells = np.frombuffer(b"".join(signatures[i] for i in at), np.uint8).reshape(len(at), level, -1).astype(np.int64)
+        cells = np.frombuffer(b"".join(signatures[i] for i in at), np.uint8).reshape(len(at), level, -1).astype(np.int32)
         made[at] = np.where(cells == 255, 1 << 20, cells).sum(axis=2)
     return made
 
@@ -328,17 +331,27 @@ def _met_pairs(members: DataFrame, similarity: Fraction) -> DataFrame:
     columns = ["node", "group", "size", "pos", "_side"]
 
     def pairs(part: np.ndarray, signatures: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sides = (np.flatnonzero(part[:, 4] == 0), np.flatnonzero(part[:, 4] == 1)) if part[:, 4].any() else (np.arange(len(part)),) * 2
-        left, right = part[sides[0]], part[sides[1]]
-        step = max(1, (1 << 20) // max(1, len(right)))
-        for start in range(0, len(left), step):
-            x, y = left[start : start + step, None, :], right[None, :, :]
+        if not len(part):
+            return
+        groups, counts = np.unique(part[:, 1], return_counts=True)
+        outside = part[:, 1] != groups[counts.argmax()]  # pairs inside the largest group need no look
+        split = bool(part[:, 4].any())
+        lefts, rights = (np.flatnonzero(part[:, 4] == 0), np.flatnonzero(part[:, 4] == 1)) if split else (np.arange(len(part)),) * 2
+        yield from crossed(part, signatures, lefts[outside[lefts]], rights, not split, outside)
+        if split:
+            yield from crossed(part, signatures, lefts[~outside[lefts]], rights[outside[rights]], False, outside)
+
+    def crossed(part: np.ndarray, signatures: np.ndarray, lefts: np.ndarray, rights: np.ndarray, one_side: bool, outside: np.ndarray) -> Iterator[pa.RecordBatch]:
+        right = part[rights]
+        step = max(1, (1 << 18) // max(1, len(right)))
+        for start in range(0, len(lefts), step):
+            left = part[lefts[start : start + step]]
+            x, y = left[:, None, :], right[None, :, :]
             hit = (x[..., 1] != y[..., 1]) & may_be_similar(x[..., 2], x[..., 3], y[..., 2], y[..., 3], similarity)
-            if sides[0] is sides[1]:
-                hit &= x[..., 0] < y[..., 0]
+            if one_side:  # of two rows outside the largest group, each pair once
+                hit &= ~outside[rights][None, :] | (x[..., 0] < y[..., 0])
             i, j = np.nonzero(hit)
-            i += start
-            stay = may_share_enough(signatures[sides[0][i]].tolist(), signatures[sides[1][j]].tolist(), left[i, 2] + right[j, 2], similarity)
+            stay = may_share_enough(signatures[lefts[start + i]].tolist(), signatures[rights[j]].tolist(), left[i, 2] + right[j, 2], similarity)
             a, b = left[i[stay], 0], right[j[stay], 0]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -404,7 +417,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, text: str, values: DataFrame, wo
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda n, held: sets.select(F.col("node").alias(n), F.col("held").alias(held))
-    return materialize(pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").mapInArrow(exact, "a long, b long"))
+    return written(pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").mapInArrow(exact, "a long, b long"))
 
 
 def _joined(links: DataFrame) -> DataFrame:
@@ -448,20 +461,38 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     # pairs need no look; then all pairs of a list that are in different groups.
     most = F.least(F.col("size") - F.col("pos"), F.col("_star.size") - F.col("_star.pos"))
     near = most * (wanted.numerator + wanted.denominator) >= (F.col("size") + F.col("_star.size")) * wanted.numerator
-    first = materialize(met.where(F.col("node") != F.col("_star.node")).where(near).select(F.col("_star.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _similar(materialize(_plausible(first, values, wanted)), docs, text, values, words_per_shingle, wanted)
+    first = written(met.where(F.col("node") != F.col("_star.node")).where(near).select(F.col("_star.node").alias("a"), F.col("node").alias("b")).distinct())
+    links = _similar(written(_plausible(first, values, wanted)), docs, text, values, words_per_shingle, wanted)
     rest = met.where("_n > 2 or _cut > 0").select("key", "node", "size", "pos")  # a list of two has been looked at
-    grouped = materialize(rest.join(_joined(links), "node", "left").withColumn("group", F.coalesce("group", "node")))
-    lists = grouped.groupBy("key").agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.count("*").alias("_n"))
-    mixed = lists.where("_low < _high").select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    tested, before = first, float("inf")
+    for turn in range(1, TURNS + 1):
+        grouped = written(rest.join(_joined(links), "node", "left").withColumn("group", F.coalesce("group", "node")))
+        counts = grouped.groupBy("key", "group").agg(F.count("*").alias("_c"))
+        lists = counts.groupBy("key").agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_c")).alias("_same"), F.count("*").alias("_groups"))
+        mixed = written(lists.where("_groups > 1"))
+        apart, gathered = mixed.agg(F.sum(F.col("_n") * F.col("_n") - F.col("_same")) / 2, F.sum("_n")).first()
+        if turn == TURNS or not gathered or apart <= APART * gathered or apart > FALL * before:
+            break
+        # Many pairs of a list are in different groups still. Another node of the list, first in another order that all lists share, is
+        # held against those outside its group, so that a large group of near copies comes together before pairs are formed.
+        grouped = grouped.join(mixed.select("key"), "key")
+        stars = grouped.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "pos", "group")).alias("_star"))
+        near = most * (wanted.numerator + wanted.denominator) >= (F.col("size") + F.col("_star.size")) * wanted.numerator
+        met_now = grouped.join(stars, "key").where(F.col("group") != F.col("_star.group")).where(near)
+        pairs = met_now.select(F.least("node", "_star.node").alias("a"), F.greatest("node", "_star.node").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
+        links = links.union(_similar(written(_plausible(pairs, values, wanted)), docs, text, values, words_per_shingle, wanted))
+        rest, before = grouped.drop("group"), apart
+    blocked = mixed.select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    placed = grouped.join(mixed, "key").withColumn("_own", own).join(values.select("node", "sign"), "node")
+    placed = grouped.join(blocked, "key").withColumn("_own", own).join(values.select("node", "sign"), "node")
 
     def pair(j):
         return F.struct(F.least("_own", j).alias("_i"), F.greatest("_own", j).alias("_j"), (F.col("_own") > j).cast("int").alias("_side"))
 
     dealt = placed.select("key", "node", "group", "size", "pos", "sign", F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
-    more = materialize(_met_pairs(dealt, wanted).join(first, ["a", "b"], "left_anti"))
+    more = written(_met_pairs(dealt, wanted).join(tested, ["a", "b"], "left_anti"))
     links = links.union(_similar(more, docs, text, values, words_per_shingle, wanted))
     # Written out, so that the join has an exchange of its own on either side and Spark can split the partition of a set
     # of shingles that many documents hold.
