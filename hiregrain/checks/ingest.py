@@ -1,11 +1,17 @@
 """Cleaning, hashing and deduplication over ``documents``, ``pages``, ``part`` and ``customer``."""
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hiregrain.checks.registry import check, collapse, fold
 from hiregrain.functions import text as T
 from hiregrain.operators import ingest as I
 from hiregrain.plans.graphs import keep_first_on_both
+from hiregrain.session import shared_folder
+from hiregrain.sources.files import json_fields
+from hiregrain.sources.json_list import read_json_list
 
 
 @check(f"SELECT doc_id, sha256({collapse('text')}) AS cleaned, length({collapse('text')}) AS chars FROM documents")
@@ -14,6 +20,23 @@ def ingest_clean_text(t):
     return cleaned.select("doc_id", T.sha_hex("c").alias("cleaned"), F.length("c").cast("long").alias("chars"))
 
 
+@check("""SELECT CAST(doc_id AS VARCHAR) AS title, sha256(text) AS description, CASE WHEN doc_id % 2 = 0 THEN source END AS company, lang, (SELECT count(*) FROM documents) AS records FROM documents""")
+def ingest_json_files(t):
+    """Documents written as files that are one JSON list each, and read again from byte ranges of a megabyte."""
+    folder = f"{shared_folder(t.spark)}/lists-{uuid.uuid4().hex}.json"
+    record = F.to_json(F.struct(F.col("doc_id").alias("Title"), F.col("text").alias("job_description"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("company"), "lang"))
+    place = Window.partitionBy("file").orderBy("doc_id")
+    listed = t.documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("file"), "doc_id", record.alias("r")).select(
+        "file", F.row_number().over(place).alias("n"), F.count("*").over(Window.partitionBy("file")).alias("size"), "r"
+    )
+    ends = F.when(F.col("n") == F.col("size"), "]").otherwise(",")
+    lines = listed.sortWithinPartitions("file", "n").select("file", F.concat(F.when(F.col("n") == 1, "[").otherwise(""), "r", ends).alias("value"))
+    lines.write.partitionBy("file").text(folder)
+    read = json_fields(read_json_list(t.spark, folder, size=1 << 20))
+    total = read.agg(F.max("record_no")).scalar()
+    return read.select(F.col("extra")["Title"].alias("title"), T.sha_hex("description").alias("description"), "company", F.col("extra")["lang"].alias("lang"), total.alias("records"))
+
+
 MARKERS = "CASE o_orderstatus WHEN 'P' THEN '  N/a ' WHEN 'F' THEN o_orderpriority ELSE 'none' || o_orderpriority END"
 
 

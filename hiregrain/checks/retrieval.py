@@ -12,6 +12,7 @@ from hiregrain.operators import documents as S
 from hiregrain.operators import fusion as R
 from hiregrain.operators import inference as I
 from hiregrain.operators import keyword as K
+from hiregrain.operators import keyword_index as X
 from hiregrain.operators import metrics as E
 from hiregrain.session import shared_folder
 from hiregrain.sources.files import read_version, write_version
@@ -62,6 +63,33 @@ def search_bm25_top_k(t):
     return K.bm25_top_k(queries_of(t), docs_of(t), 10)
 
 
+def index_of(t):
+    """The stored index of the documents table as it is now; written when it is asked for first."""
+    files = t.documents.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
+    stamp = files.agg(F.coalesce(F.bit_xor("f"), F.lit(0))).first()[0]
+    folder = f"{shared_folder(t.spark)}/keyword-{stamp & (1 << 63) - 1:x}"
+    return X.open_index(t.spark, folder) or X.write_index(docs_of(t), folder)
+
+
+@check(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM {ranked('bm25', 'score DESC, doc_id', 10)}")
+def search_bm25_indexed(t):
+    """The same ranking from a stored index; a second call finds it written."""
+    return index_of(t).top_k(queries_of(t), 10)
+
+
+@check(f"""WITH {BM25}, wanted AS (SELECT bm25.* FROM bm25 JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars > 300)
+SELECT query_id, doc_id, rank FROM {ranked('wanted', 'score DESC, doc_id', 20)}""")
+def search_filtered_indexed(t):
+    within = R.matching_documents(t.documents, F.col("lang") == "en", F.col("n_chars") > 300)
+    return index_of(t).top_k(queries_of(t), 20, within=within).select("query_id", "doc_id", "rank")
+
+
+@check("WITH w AS (SELECT doc_id, " + tokens('text') + " AS w FROM documents) SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS token FROM w) GROUP BY 1")
+def search_indexed_terms(t):
+    """Document frequencies as the index holds them."""
+    return index_of(t).terms().select("token", "df")
+
+
 @check(rf"""WITH {QUERY}, extra AS (SELECT query_id, list_concat({tokens('text')}, regexp_extract_all(lower(text), '[a-z]+ing')) AS w FROM queries)
 SELECT query_id, token, count(*) AS qf FROM (SELECT query_id, unnest(w) AS token FROM extra) GROUP BY 1, 2""")
 def search_extra_terms(t):

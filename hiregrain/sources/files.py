@@ -8,22 +8,21 @@ from pyspark.sql import types as S
 
 from hiregrain.functions import text as T
 from hiregrain.operators.ingest import FIELD_ALIASES, RECORD_FIELDS, ordered_map
+from hiregrain.sources.json_list import read_json_list
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """Raw postings with ``record_no`` from ``.csv`` (header required) or ``.json`` files.
 
-    Every field is text. JSON is a list of objects or ``{"jobs": [...]}``. For one file ``record_no``
-    is the 1-based position; over several files it is unique and increasing.
+    Every field is text. JSON is a list of objects or ``{"jobs": [...]}``, cut into byte ranges however large a file is.
+    ``record_no`` is the 1-based position; over several files it goes on counting for JSON, and is unique and increasing for CSV.
     """
     lowered = path.lower()
     if lowered.endswith(".csv"):
-        rows = _read_csv(spark, path)
-    elif lowered.endswith(".json"):
-        rows = _read_json(spark, path)
-    else:
-        raise ValueError("a postings file ends in .csv or .json")
-    return rows.withColumn("record_no", F.monotonically_increasing_id() + 1)
+        return _read_csv(spark, path).withColumn("record_no", F.monotonically_increasing_id() + 1)
+    if lowered.endswith(".json"):
+        return _read_json(spark, path)
+    raise ValueError("a postings file ends in .csv or .json")
 
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -35,19 +34,22 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_json(spark: SparkSession, path: str) -> DataFrame:
-    text = F.ltrim(F.regexp_replace("value", "^﻿", ""))
-    listed = F.from_json(text, "array<map<string,string>>", {"mode": "PERMISSIVE"})
-    wrapped = F.from_json(text, "struct<jobs:array<map<string,string>>>").getField("jobs")
-    records = F.when(text.startswith("["), listed).otherwise(wrapped)
-    message = "a JSON file holds a list of postings, or an object with one under jobs"
-    checked = F.coalesce(records, F.raise_error(F.lit(message)).cast("array<map<string,string>>"))
-    record = spark.read.text(path, wholetext=True).select(F.explode(checked).alias("r"))
+    """Postings of JSON files, each read in parallel from its byte ranges; ``record_no`` counts over all of them."""
+    return json_fields(read_json_list(spark, path, "jobs"))
+
+
+def json_fields(records: DataFrame) -> DataFrame:
+    """``record_no``, the fields and the ``extra`` ones of records given as JSON texts in ``value``."""
+    parsed = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
+    checked = F.coalesce(parsed, F.raise_error(F.lit("a posting is a JSON object")).cast("map<string,string>"))
     named = F.transform(F.map_entries("r"), lambda e: F.struct(_field(e["key"]).alias("key"), e["value"].alias("value")))
     entries = F.filter(named, lambda e: e["key"].isNotNull())
     # Of two spellings the later counts.
-    fields = record.select(ordered_map(entries).alias("_m"))
+    # The number is made in the row's place: filters on cleaned fields, which call Python, stay above it and out of the scan.
+    number = F.greatest("record_no", -F.monotonically_increasing_id())
+    fields = records.select(number.alias("record_no"), checked.alias("r")).select("record_no", ordered_map(entries).alias("_m"))
     extra = F.map_filter("_m", lambda k, v: ~k.isin(RECORD_FIELDS))
-    return fields.select(*[F.col("_m").getItem(f).alias(f) for f in RECORD_FIELDS], extra.alias("extra"))
+    return fields.select("record_no", *[F.col("_m").getItem(f).alias(f) for f in RECORD_FIELDS], extra.alias("extra"))
 
 
 def _field(key: Column) -> Column:
