@@ -85,10 +85,12 @@ def claims_of(t):
     claims = listed.select("cv_id", F.posexplode("w").alias("seq", "name"), "w").select(
         "cv_id", "seq", "name", F.array_join(F.slice("w", F.col("seq") + 1, F.lit(2)), " ").alias("evidence")
     )
-    words_ = T.tokens("text")
-    skills = t.benchmark.select(F.col("item_id").alias("id"), F.get(words_, F.lit(0)).alias("canonical_name"))
-    aliases = t.benchmark.select(F.col("item_id").alias("skill_id"), F.get(words_, F.lit(1)).alias("alias"))
-    market = t.benchmark.where("item_id % 4 <> 0").select(F.col("item_id").alias("skill_id"))
+    # Every other token of a benchmark text is a skill, the token after it its alias.
+    named_ = t.benchmark.select("item_id", F.posexplode(T.tokens("text")).alias("pos", "token"))
+    numbered = named_.withColumn("skill_id", F.col("item_id") * 100_000 + F.col("pos") - F.col("pos") % 2)
+    skills = numbered.where("pos % 2 = 0").select(F.col("skill_id").alias("id"), F.col("token").alias("canonical_name"))
+    aliases = numbered.where("pos % 2 = 1").select("skill_id", F.col("token").alias("alias"))
+    market = skills.where("id % 3 <> 0").select(F.col("id").alias("skill_id"))
     return claims, turns, skills, aliases, market
 
 
@@ -97,10 +99,10 @@ listed AS (SELECT cv_id, x, w, unnest(w) AS name, generate_subscripts(w, 1) - 1
 claims AS MATERIALIZED (SELECT cv_id, x, name, seq, array_to_string(list_slice(w, seq + 1, seq + 2), ' ') AS evidence FROM listed),
 near AS MATERIALIZED (SELECT * FROM claims WHERE contains(x, evidence)),
 quoted AS MATERIALIZED (SELECT cv_id, name, seq, evidence, {words('evidence')} AS ew FROM near WHERE {named('x', '[]', 'evidence').replace('CASE WHEN regexp_full_match(evidence, ', 'CASE WHEN false AND regexp_full_match(evidence, ')}),
-skills AS (SELECT item_id AS id, ({tokens('text')})[1] AS n, ({tokens('text')})[2] AS a FROM benchmark),
-names AS MATERIALIZED (SELECT id, n FROM skills UNION SELECT id, a FROM skills),
+numbered AS (SELECT item_id, unnest(w) AS n, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT item_id, {tokens('text')} AS w FROM benchmark)),
+names AS MATERIALIZED (SELECT DISTINCT item_id * 100000 + pos - pos % 2 AS id, n FROM numbered),
 known AS (SELECT {key('n')} AS key, min(id) AS skill_id FROM names GROUP BY 1),
-resolved AS MATERIALIZED (SELECT q.*, k.skill_id, coalesce(k.skill_id % 4 <> 0, false) AS market FROM quoted q LEFT JOIN known k ON k.key = {key('q.name')})"""
+resolved AS MATERIALIZED (SELECT q.*, k.skill_id, coalesce(k.skill_id % 3 <> 0, false) AS market FROM quoted q LEFT JOIN known k ON k.key = {key('q.name')})"""
 
 
 @check(f"""WITH {CLAIMS}, ok AS (SELECT cv_id, skill_id, seq, evidence FROM resolved r WHERE market AND ({named('evidence', 'ew', 'name')}
@@ -117,8 +119,8 @@ def cv_unrecognized_claims(t):
 
 @check(r"""WITH parts AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS u, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS a,
   string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system') AS s FROM conversations GROUP BY 1)
-SELECT conv_id AS cv_id, substr(concat_ws(chr(10), nullif(regexp_replace(coalesce(s, ''), '^\s+|\s+$', '', 'g'), ''), 'skill ' || conv_id,
-  nullif(regexp_replace(coalesce(u, ''), '^\s+|\s+$', '', 'g'), ''), nullif(regexp_replace(coalesce(a, ''), '^\s+|\s+$', '', 'g'), '')), 1, 2000) AS query FROM parts""")
+SELECT conv_id AS cv_id, concat_ws(chr(10), nullif(regexp_replace(coalesce(s, ''), '^\s+|\s+$', '', 'g'), ''), 'skill ' || conv_id,
+  nullif(regexp_replace(coalesce(u, ''), '^\s+|\s+$', '', 'g'), ''), nullif(regexp_replace(coalesce(a, ''), '^\s+|\s+$', '', 'g'), '')) AS query FROM parts""")
 def cv_search_text(t):
     def texts(role):
         turns = F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))
@@ -128,4 +130,4 @@ def cv_search_text(t):
         F.array_join(texts("system"), "\n").alias("summary"), texts("user").alias("projects"), texts("assistant").alias("experience")
     ).withColumn("education", F.array().cast("array<string>"))
     recognized = profiles.select("cv_id", F.lit(1).alias("seq"), F.concat(F.lit("skill "), F.col("cv_id").cast("string")).alias("skill"))
-    return C.cv_query(profiles, recognized)
+    return C.cv_query(profiles, recognized, max_chars=None)

@@ -21,9 +21,9 @@ MAX_QUERY_CHARS = 2000  # fixed value; ``None`` keeps the whole query
 
 def quoted_claims(claims: DataFrame, cvs: DataFrame) -> DataFrame:
     """Claims whose evidence really occurs in the CV's text."""
-    texts = cvs.select("cv_id", F.coalesce(T.casefold(T.collapse("text")), F.lit("")).alias("_text"))
+    texts = cvs.select("cv_id", T.spaced(F.coalesce(T.casefold(T.collapse("text")), F.lit(""))).alias("_text"))
     trimmed = claims.select("cv_id", "seq", "name", F.trim("evidence").alias("evidence"))
-    quoted = F.regexp_like("_text", T.phrase_pattern(T.casefold(T.collapse("evidence"))))
+    quoted = F.contains("_text", T.spaced(T.casefold(T.collapse("evidence"))))
     return trimmed.join(texts, "cv_id").where(quoted).drop("_text")
 
 
