@@ -45,11 +45,11 @@ def json_fields(records: DataFrame) -> DataFrame:
     named = F.transform(F.map_entries("r"), lambda e: F.struct(_field(e["key"]).alias("key"), e["value"].alias("value")))
     entries = F.filter(named, lambda e: e["key"].isNotNull())
     # Of two spellings the later counts.
-    # The number is made in the row's place: filters on cleaned fields, which call Python, stay above it and out of the scan.
-    number = F.greatest("record_no", -F.monotonically_increasing_id())
-    fields = records.select(number.alias("record_no"), checked.alias("r")).select("record_no", ordered_map(entries).alias("_m"))
+    parts = records.select("record_no", checked.alias("r")).select("record_no", ordered_map(entries).alias("_m"))
     extra = F.map_filter("_m", lambda k, v: ~k.isin(RECORD_FIELDS))
-    return fields.select("record_no", *[F.col("_m").getItem(f).alias(f) for f in RECORD_FIELDS], extra.alias("extra"))
+    # As the number is made here, filters on what is later made of the fields by Python functions stay above it and out of the scan.
+    number = F.greatest("record_no", -F.monotonically_increasing_id())
+    return parts.select(number.alias("record_no"), *[F.col("_m").getItem(f).alias(f) for f in RECORD_FIELDS], extra.alias("extra"))
 
 
 def _field(key: Column) -> Column:
