@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from hiregrain.checks.registry import COMPANIES, JOB_SKILLS, JOBS, SKILLS, check
+from hiregrain.checks.retrieval import BM25, DENSE, FUSED, docs_of, queries_of, query_vectors, ranked, vectors_of
 from hiregrain.functions import text as T
 from hiregrain.operators import analytics as A
+from hiregrain.operators import fusion as R
 from hiregrain.plans import skew as K
 
 ALL = f"{JOBS}, {COMPANIES}, {SKILLS}, {JOB_SKILLS}"
@@ -31,6 +33,18 @@ def jobs_point_lookup(t):
     return t.jobs.where((F.col("source_url") == "https://jobs.example.com/77") | (F.col("id") == 5)).select("id", "title")
 
 
+@check("""WITH p AS (SELECT doc_id AS id, sha256(source || ':' || lang) AS raw_hash, sha256(text) AS content_hash FROM documents),
+wanted AS (SELECT DISTINCT 'content_hash' AS kind, sha256(text) AS hash FROM documents WHERE n_chars % 3 = 0 UNION SELECT DISTINCT 'raw_hash', sha256(source || ':de') FROM documents UNION SELECT 'raw_hash', sha256('nobody'))
+SELECT kind, hash, min(id) AS id FROM (SELECT 'raw_hash' AS kind, raw_hash AS hash, id FROM p UNION ALL SELECT 'content_hash', content_hash, id FROM p) JOIN wanted USING (kind, hash) GROUP BY 1, 2""")
+def jobs_by_hash(t):
+    """Documents as postings, looked up by the hash of their content or of their origin."""
+    origin = lambda lang: T.sha_hex(F.concat("source", F.lit(":"), lang))
+    postings = t.documents.select(F.col("doc_id").alias("id"), origin(F.col("lang")).alias("raw_hash"), T.sha_hex("text").alias("content_hash"))
+    contents = t.documents.where("n_chars % 3 = 0").select(F.lit("content_hash").alias("kind"), T.sha_hex("text").alias("hash"))
+    origins = t.documents.select(F.lit("raw_hash").alias("kind"), origin(F.lit("de")).alias("hash")).distinct()
+    return A.by_hashes(postings, contents.unionByName(origins).unionByName(origins.select("kind", F.sha2(F.lit("nobody"), 256).alias("hash"))))
+
+
 @check(f"WITH {JOBS} SELECT id, title FROM jobs WHERE id IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def jobs_by_keys(t):
     return A.by_keys(t.jobs, t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("id")), "id").select("id", "title")
@@ -135,6 +149,23 @@ def scope_then_count(t):
     return A.query_views(t.spark, scoped(t), "SELECT s.canonical_name, count(js.job_id) AS links FROM {skills} s JOIN {job_skills} js ON js.skill_id = s.id GROUP BY 1")
 
 
+@check(f"""WITH {BM25}, {DENSE}, {FUSED}, {ALL}, hit AS {ranked('fused', 'score DESC, best_rank, doc_id', 10)},
+link AS (SELECT DISTINCT job_id, canonical_name FROM job_skills JOIN skills s ON s.id = skill_id)
+SELECT query_id, canonical_name, count(*) AS jobs FROM hit JOIN link ON job_id = doc_id WHERE query_id % 10 <> 0 GROUP BY 1, 2
+UNION ALL SELECT item_id, canonical_name, jobs FROM benchmark, (SELECT canonical_name, count(*) AS jobs FROM link GROUP BY 1) WHERE item_id % 10 = 0""")
+def search_then_count(t):
+    """Skills of the postings that a hybrid search found for each question; every tenth question asks about all postings."""
+    asked_ = queries_of(t)
+    hits = R.hybrid_search(asked_, docs_of(t), query_vectors(t), vectors_of(t), 10).select("query_id", F.col("doc_id").alias("job_id"))
+    scope = F.when(F.col("query_id") % 10 == 0, "all").otherwise("search_results")
+
+    def skills_held(relations, keys):
+        named = relations["job_skills"].join(relations["skills"].select(F.col("id").alias("skill_id"), "canonical_name"), "skill_id")
+        return named.select(*keys, "job_id", "canonical_name").distinct().groupBy(*keys, "canonical_name").agg(F.count("*").alias("jobs"))
+
+    return A.search_then_count(asked_.withColumn("sql_scope", scope), hits, A.curated(tables(t)), skills_held)
+
+
 RULES = """rules AS (SELECT n_nationkey AS query_id, 'skill' AS field, '%' || split_part(p_name, ' ', 1) || '%' AS pattern, true AS wanted FROM nation JOIN part ON p_partkey = n_nationkey * 3
   UNION ALL SELECT n_nationkey, 'title', '%' || c_mktsegment || ' eng%', n_nationkey % 2 = 0 FROM nation JOIN customer ON c_custkey = n_nationkey)"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +72,39 @@ def by_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_semi").select(*rows.columns)
 
 
+def by_hashes(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(kind, hash, id)``: the posting with the smallest id for every asked ``kind`` (``raw_hash`` or ``content_hash``) and ``hash``.
+
+    Both hashes of a posting are asked for in one pass, and only postings that some question names leave the join.
+    """
+    kinds = ("raw_hash", "content_hash")
+    unknown = F.raise_error(F.lit("a posting is looked up by raw_hash or content_hash")).cast("string")
+    asked = wanted.select(F.when(F.col("kind").isin(*kinds), F.col("kind")).otherwise(unknown).alias("kind"), "hash").distinct()
+    held = postings.select("id", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hash")) for k in kinds])))
+    return held.join(asked, ["kind", "hash"]).groupBy("kind", "hash").agg(F.min("id").alias("id"))
+
+
+def search_then_count(
+    questions: DataFrame, hits: DataFrame, tables: dict[str, DataFrame], count: Callable[[dict[str, DataFrame], list[str]], DataFrame]
+) -> DataFrame:
+    """Counts for many questions at once, each over its own search results or over all postings.
+
+    ``questions`` has ``query_id`` and ``sql_scope`` (``search_results`` or ``all``), ``hits`` is ``(query_id, job_id)``.
+    ``count`` gets the relations and the columns to group by. It is called once with the relations of all scoped questions, whose
+    postings and links carry ``query_id``, and once with the plain relations, whose counts every question about all postings
+    shares. A question scoped to results that found nothing has no rows.
+    """
+    scoped = questions.where("sql_scope = 'search_results'").select("query_id").distinct()
+    found = hits.join(scoped, "query_id", "left_semi").select("query_id", "job_id").distinct()
+    own = dict(tables)
+    own["jobs"] = tables["jobs"].join(found.withColumnRenamed("job_id", "id"), "id")
+    own["job_skills"] = tables["job_skills"].join(found, "job_id")
+    counted = count(own, ["query_id"])
+    everything = count(tables, []).withColumn("_scope", F.lit("all"))
+    whole = questions.select("query_id", F.col("sql_scope").alias("_scope")).distinct().join(everything, "_scope").drop("_scope")
+    return counted.unionByName(whole.select(*counted.columns))
+
+
 def company_named(companies: DataFrame, names: DataFrame) -> DataFrame:
     """Case-insensitive lookup: ``names`` has ``name``."""
     wanted = names.select(F.lower("name").alias("_n")).distinct()
