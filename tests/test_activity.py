@@ -46,13 +46,12 @@ def test_quota_of_a_busy_client_spans_partitions(spark, limit):
     assert {r.call_id: r.wait for r in got.collect()} == replay(calls, limit, 60)
 
 
-def test_quota_golden(spark):
-    s = Q.MICROS
-    calls = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("b", 3, 0), ("a", 4, 61 * s)], "client string, call_id long, at long")
-    got = {r.call_id: (r.admitted, r.wait) for r in Q.sliding_quota(calls, 1).collect()}
-    assert got == {1: (True, None), 2: (False, 60), 3: (True, None), 4: (True, None)}
-    capped = Q.capped_quota(calls, 1, 2)
-    assert {r.call_id: r.wait for r in capped.collect()} == {1: None, 2: 60, 3: None, 4: Q.DAILY_WAIT}
+def test_quota_by_hand(spark):
+    """Two calls in thirty seconds: the third comes a second too early, the fourth in time; another client has its own window."""
+    seconds = {1: ("k", 10), 2: ("k", 25), 3: ("k", 39), 4: ("k", 41), 5: ("m", 26)}
+    calls = spark.createDataFrame([(c, i, t * Q.MICROS) for i, (c, t) in seconds.items()], "client string, call_id long, at long")
+    assert {r.call_id: (r.admitted, r.wait) for r in Q.sliding_quota(calls, 2, 30).collect()} == {1: (True, None), 2: (True, None), 3: (False, 1), 4: (True, None), 5: (True, None)}
+    assert {r.call_id: r.wait for r in Q.capped_quota(calls, 2, 3, 30).collect()} == {1: None, 2: None, 5: None, 3: Q.DAILY_WAIT, 4: Q.DAILY_WAIT}
 
 
 def test_calls_stopped_by_the_daily_cap_leave_no_trace(spark):
