@@ -51,9 +51,8 @@ HOT = 16  # sampled documents that make a shingle's list one to be cut before it
 GATHERED = 1 << 16  # rows of a cut list in one task, on average, if every document were in it
 TEXTS = 64  # whose sets of shingles a task holds at a time
 TURNS = 8  # nodes that every list is held against at most before all its pairs in different groups are formed
-APART = 4  # such pairs per row that are formed without another turn; any values of these three give the same result
-FALL = 0.75  # share of such pairs that a turn must bring them down to for another one
-CELL = 1  # shingles of a set per count of its signature, at most
+APART = 4  # such pairs per row that are formed without another turn; any values of these give the same result
+CELL = 3  # shingles of a set per count of its signature, at most
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # fixed values: the splitmix64 constants
 
 
@@ -343,7 +342,7 @@ def _met_pairs(members: DataFrame, similarity: Fraction) -> DataFrame:
 
     def crossed(part: np.ndarray, signatures: np.ndarray, lefts: np.ndarray, rights: np.ndarray, one_side: bool, outside: np.ndarray) -> Iterator[pa.RecordBatch]:
         right = part[rights]
-        step = max(1, (1 << 18) // max(1, len(right)))
+        step = max(1, (1 << 17) // max(1, len(right)))
         for start in range(0, len(lefts), step):
             left = part[lefts[start : start + step]]
             x, y = left[:, None, :], right[None, :, :]
@@ -464,14 +463,14 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     first = written(met.where(F.col("node") != F.col("_star.node")).where(near).select(F.col("_star.node").alias("a"), F.col("node").alias("b")).distinct())
     links = _similar(written(_plausible(first, values, wanted)), docs, text, values, words_per_shingle, wanted)
     rest = met.where("_n > 2 or _cut > 0").select("key", "node", "size", "pos")  # a list of two has been looked at
-    tested, before = first, float("inf")
+    tested = first
     for turn in range(1, TURNS + 1):
         grouped = written(rest.join(_joined(links), "node", "left").withColumn("group", F.coalesce("group", "node")))
         counts = grouped.groupBy("key", "group").agg(F.count("*").alias("_c"))
         lists = counts.groupBy("key").agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_c")).alias("_same"), F.count("*").alias("_groups"))
         mixed = written(lists.where("_groups > 1"))
         apart, gathered = mixed.agg(F.sum(F.col("_n") * F.col("_n") - F.col("_same")) / 2, F.sum("_n")).first()
-        if turn == TURNS or not gathered or apart <= APART * gathered or apart > FALL * before:
+        if turn == TURNS or not gathered or apart <= APART * gathered:
             break
         # Many pairs of a list are in different groups still. Another node of the list, first in another order that all lists share, is
         # held against those outside its group, so that a large group of near copies comes together before pairs are formed.
@@ -483,7 +482,7 @@ def similar_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
         links = links.union(_similar(written(_plausible(pairs, values, wanted)), docs, text, values, words_per_shingle, wanted))
-        rest, before = grouped.drop("group"), apart
+        rest = grouped.drop("group")
     blocked = mixed.select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     placed = grouped.join(blocked, "key").withColumn("_own", own).join(values.select("node", "sign"), "node")
