@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hiregrain.functions import text as T
 from hiregrain.plans.skew import even_batches, median, nearest_rank, position_in_group, top_per_key
+from hiregrain.session import materialize
 
 
 def metrics_at_k(runs: DataFrame, labels: DataFrame, k: int, strict: bool = True) -> DataFrame:
@@ -24,6 +25,31 @@ def metrics_at_k(runs: DataFrame, labels: DataFrame, k: int, strict: bool = True
     relevant = labels.select("query_id", "doc_id").distinct()
     totals = relevant.groupBy("query_id").agg(F.count("*").alias("_relevant"))
     marked = runs.join(relevant.withColumn("_rel", F.lit(True)), ["query_id", "doc_id"], "left")
+    return _at_k(marked, totals, k, strict)
+
+
+def metrics_at_k_by_topic(runs: DataFrame, query_topics: DataFrame, doc_topics: DataFrame, k: int, strict: bool = True) -> DataFrame:
+    """Like :func:`metrics_at_k`, where a document is relevant to every query that it shares a topic with.
+
+    ``query_topics`` is ``(query_id, topic)``, ``doc_topics`` is ``(doc_id, topic)``; several topics each are fine, a null one is none.
+    Relevant pairs are never written out: documents are counted per set of topics, and only sets are paired.
+    """
+    asked = _topic_sets(query_topics, "query_id", "_asked")
+    held = _topic_sets(doc_topics, "doc_id", "_held")
+    sizes = held.groupBy("_held").agg(F.count("*").alias("_docs")).withColumn("topic", F.explode("_held"))
+    met = asked.select("_asked").distinct().withColumn("topic", F.explode("_asked")).join(sizes, "topic")
+    relevant = met.select("_asked", "_held", "_docs").distinct().groupBy("_asked").agg(F.sum("_docs").alias("_relevant"))
+    totals = asked.join(relevant, "_asked").select("query_id", "_relevant")
+    marked = runs.join(asked, "query_id", "left").join(held, "doc_id", "left").withColumn("_rel", F.arrays_overlap("_asked", "_held"))
+    return _at_k(marked, totals, k, strict)
+
+
+def _topic_sets(topics: DataFrame, key: str, name: str) -> DataFrame:
+    return topics.where("topic is not null").groupBy(key).agg(F.array_sort(F.collect_set("topic")).alias(name))
+
+
+def _at_k(marked: DataFrame, totals: DataFrame, k: int, strict: bool) -> DataFrame:
+    """Metrics of runs whose relevant rows are marked by ``_rel``, given the number of relevant documents per query."""
     hit = F.coalesce(F.col("_rel"), F.lit(False)) & (F.col("rank") <= k)
     counted = (
         marked.groupBy("query_id", "method")
@@ -45,6 +71,7 @@ def summarize_methods(per_query: DataFrame, metrics: Sequence[str], latency: str
     means = [F.avg(m).alias(f"mean_{m}") for m in metrics]
     if latency is None:
         return per_query.groupBy("method").agg(*means)
+    per_query = materialize(per_query)  # read by the means and twice by the median
     averaged = per_query.groupBy("method").agg(*means, F.avg(latency).alias(f"mean_{latency}"))
     return averaged.join(median(per_query, ["method"], latency, f"median_{latency}"), "method")
 

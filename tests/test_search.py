@@ -158,6 +158,21 @@ def test_recall_without_relevant_documents_is_an_error(spark):
         E.metrics_at_k(runs, labels, 5).collect()
 
 
+def test_topics_stand_for_the_pairs_they_would_make(spark):
+    runs = spark.createDataFrame([(q, "a", d, r) for q in (1, 2, 3) for r, d in enumerate((10, 12, 11, None, 14), 1)], "query_id long, method string, doc_id long, rank int")
+    asked = [(1, 0), (1, 0), (2, 0), (2, 1), (2, None), (3, 1), (None, 0)]
+    held = [(10, 0), (10, 1), (10, 0), (11, 1), (12, 2), (13, 0), (None, 1), (14, None)]
+    q, d = spark.createDataFrame(asked, "query_id long, topic int"), spark.createDataFrame(held, "doc_id long, topic int")
+    by_pairs = sorted(E.metrics_at_k(runs, q.join(d, "topic"), 3).collect())
+    assert sorted(E.metrics_at_k_by_topic(runs, q, d, 3).collect()) == by_pairs and len(by_pairs) == 3
+    with pytest.raises(Exception, match="no relevant documents"):
+        E.metrics_at_k_by_topic(runs, q.where("query_id <> 3"), d, 3).collect()
+    # Documents of one topic are counted, not paired with the queries: a million pairs for each of 2,000 queries would be 2 * 10**9.
+    many, every = spark.range(2_000).select(F.col("id").alias("query_id"), F.lit(0).alias("topic")), spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("topic"))
+    run = many.select("query_id", F.lit("a").alias("method"), (F.col("query_id") * 7).alias("doc_id"), F.lit(1).alias("rank"))
+    assert E.metrics_at_k_by_topic(run, many, every, 5).agg(F.min("recall"), F.max("recall")).first() == (1e-6, 1e-6)
+
+
 def test_sample_does_not_depend_on_order(spark):
     pairs = spark.createDataFrame([(q, d) for q in range(10) for d in range(10)], "query_id int, doc_id int")
     a, b = E.sample_pairs(pairs, 7, 1), E.sample_pairs(pairs.orderBy(F.desc("doc_id")).union(pairs), 7, 1)
