@@ -86,15 +86,15 @@ def fingerprint(text: str | None, words_per_shingle: int, width: int = BYTES) ->
     return np.packbits(ones * 2 > count, bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, id_column: str, text: str, words_per_shingle: int, width: int) -> DataFrame:
-    """``(id, node, bits)``: the fingerprint and its node, which is the fingerprint itself if it has eight bytes."""
+def fingerprints(docs: DataFrame, id_column: str, text: str, words_per_shingle: int, width: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, carried columns, node, bits)``: the fingerprint and its node, which is the fingerprint itself if it has eight bytes."""
 
     def work(texts: list, batch: pa.RecordBatch) -> dict:
         made = [fingerprint(x, words_per_shingle, width) for x in texts]
         nodes = [int.from_bytes(m, "little", signed=True) if width == BYTES else xxhash.xxh64_intdigest(m, SEED) - (1 << 63) for m in made]
         return {"node": pa.array(nodes, pa.int64()), "bits": pa.array(made, pa.binary())}
 
-    return map_texts(docs.select(id_column, text), work, "node long, bits binary", text)
+    return map_texts(docs.select(id_column, *carry, text), work, "node long, bits binary", text)
 
 
 def position_sets(agreeing: int, key_bytes: int) -> list[tuple[int, ...]]:
@@ -198,12 +198,8 @@ def _links(members: DataFrame, agreeing: int, max_bits: int) -> DataFrame:
     return dealt.mapInArrow(run, "node long, key long")
 
 
-def _grouped(docs: DataFrame, id_column: str, text: str, words_per_shingle: int, width: int, sets: list[tuple[int, ...]], agreeing: int, max_bits: int, block: int) -> DataFrame:
-    """``(id, node, component_id)`` of every row."""
-    marked = materialize(fingerprints(docs, id_column, text, words_per_shingle, width))
-    values = marked.groupBy("node").agg(F.min(id_column).alias("_first"), F.min("bits").alias("bits"))
-    if width > BYTES:  # small enough to be made anew where the fingerprint is the node
-        values = materialize(values)
+def _node_links(values: DataFrame, sets: list[tuple[int, ...]], agreeing: int, max_bits: int, block: int) -> DataFrame:
+    """``(node, key)``: links that connect what all links between the fingerprints ``values`` (``node``, ``bits``) connect."""
     postings = _postings(values, sets)
     lists = postings.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
     met = postings.join(lists, "key")  # Spark splits a long list's partition when it joins
@@ -215,8 +211,16 @@ def _grouped(docs: DataFrame, id_column: str, text: str, words_per_shingle: int,
         return F.struct(F.least("_own", j).alias("_i"), F.greatest("_own", j).alias("_j"), (F.col("_own") > j).cast("int").alias("_side"))
 
     dealt = met.select("key", "node", "bits", F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
-    links = _links(dealt, agreeing, max_bits).distinct()
-    groups = components(links)  # node, component
+    return _links(dealt, agreeing, max_bits).distinct()
+
+
+def _grouped(docs: DataFrame, id_column: str, text: str, words_per_shingle: int, width: int, sets: list[tuple[int, ...]], agreeing: int, max_bits: int, block: int) -> DataFrame:
+    """``(id, node, component_id)`` of every row."""
+    marked = materialize(fingerprints(docs, id_column, text, words_per_shingle, width))
+    values = marked.groupBy("node").agg(F.min(id_column).alias("_first"), F.min("bits").alias("bits"))
+    if width > BYTES:  # small enough to be made anew where the fingerprint is the node
+        values = materialize(values)
+    groups = components(_node_links(values, sets, agreeing, max_bits, block))  # node, component
     linked = values.select("node", "_first").join(groups, "node")
     smallest = linked.groupBy("component").agg(F.min("_first").alias("component_id"))
     named = linked.join(smallest, "component").select("node", "component_id")
@@ -226,6 +230,29 @@ def _grouped(docs: DataFrame, id_column: str, text: str, words_per_shingle: int,
     return marked.select(id_column, "node").join(classes, "node").select(id_column, "node", "component_id")
 
 
+def _agreeing(max_bits: int, key_bytes: int) -> int:
+    if not 1 <= key_bytes <= BYTES - max_bits:
+        raise ValueError("a key holds at most as many bytes as two linked fingerprints are sure to share")
+    return BYTES - max_bits
+
+
+def near_rows(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5, max_bits: int = 4, key_bytes: int = KEY_BYTES, block: int = BLOCK
+) -> DataFrame:
+    """``(id, text_key, group)`` of every row: a hash of its text, and a number shared by all rows connected by linked fingerprints.
+
+    Groups are those of :func:`near_duplicates`, told apart also where ids are missing or repeated.
+    """
+    agreeing = _agreeing(max_bits, key_bytes)
+    keyed = docs.select(F.col(id_column), F.col(text).alias("_text"), F.xxhash64(whole(text)).alias("text_key"))
+    marked = materialize(fingerprints(keyed, id_column, "_text", words_per_shingle, BYTES, ("text_key",)))
+    values = marked.groupBy("node").agg(F.min("bits").alias("bits"))
+    groups = components(_node_links(values, position_sets(agreeing, key_bytes), agreeing, max_bits, block)).withColumnRenamed("component", "group")
+    # Written out for the same reason as in _grouped.
+    classes = materialize(values.select("node").join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group")))
+    return marked.select(id_column, "text_key", "node").join(classes, "node").select(id_column, "text_key", "group")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_per_shingle: int = 5, max_bits: int = 4, key_bytes: int = KEY_BYTES, block: int = BLOCK
 ) -> DataFrame:
@@ -234,9 +261,7 @@ def near_duplicates(
     ``key_bytes`` is how many positions a posting's key holds: 3 give 23 postings a fingerprint (for 4 bits) and lists
     of ``n / 2**24`` by chance, right up to about 10**9 different fingerprints; 4 give 70 and lists of ``n / 2**32``.
     """
-    agreeing = BYTES - max_bits
-    if not 1 <= key_bytes <= agreeing:
-        raise ValueError("a key holds at most as many bytes as two linked fingerprints are sure to share")
+    agreeing = _agreeing(max_bits, key_bytes)
     out = _grouped(docs, id_column, text, words_per_shingle, BYTES, position_sets(agreeing, key_bytes), agreeing, max_bits, block)
     return out.select(id_column, F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 

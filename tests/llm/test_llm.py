@@ -697,3 +697,18 @@ def test_near_copies_without_and_with_repeated_ids(spark):
         assert (i, t) in rows
         groups[(i, next((n for n, s in enumerate(said) if t and t in (s, copy[n])), None))] += 1
     assert groups == Counter({(None, 0): 1, (None, 1): 1, (5, 2): 1, (6, 3): 1, (7, 4): 1, (9, 5): 1, (9, 6): 1, (None, None): 1})
+
+
+def test_near_copies_are_those_of_linked_fingerprints(spark):
+    import corpus_pipeline
+
+    texts = near_texts()
+    prints = {i: brute_fingerprint(t, 5) for i, t in enumerate(texts)}
+    roots = brute_components(set(prints.values()), lambda a, b: bin(a ^ b).count("1") <= corpus_pipeline.NEAR_BITS)
+    smallest = {}
+    for i in sorted(prints):
+        smallest.setdefault(roots[prints[i]], i)
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, texts), FOLDER).collect()]
+    assert sorted(kept) == sorted(smallest.values())
+    # Fingerprints decide, not the similarity of the sets of shingles.
+    assert set(brute_similar(texts).values()) != set(smallest.values())
