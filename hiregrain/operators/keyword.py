@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from hiregrain.functions import text as T
 from hiregrain.plans.skew import top_per_key
-from hiregrain.session import materialize
+from hiregrain.session import materialize, written
 
 K1, B = 1.5, 0.75
 SCORE_DECIMALS = 9
+SCORES = 500_000  # (query, document) pairs of one task; any value gives the same result
 # Stands for "the document itself" among its tokens; never produced by a tokenizer.
 DOCUMENT = ""
 
@@ -43,14 +44,16 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
     """``(query_id, doc_id, score)`` of every document sharing a token with a query.
 
     The corpus is tokenized once and only tokens that some query uses leave the scan. They are placed
-    by document and counted into a term table that is written out; the term table keeps its placement,
-    so the sum over a query's terms needs no further shuffle. Corpus statistics come from the same
-    table through one extra token per document. Whether a join ships its query side is left to Spark's
-    own measured threshold.
+    by document, in as many parts as keep a part's scores at about ``SCORES``, and counted into a term table that is
+    written out. A document's terms are in one part, so where the query side is shipped to them, sums are whole before
+    anything is shuffled and only scores are. Corpus statistics come from the same table through one extra token per
+    document. The query side is written with its true size; whether a join ships it is left to Spark's own threshold.
     """
-    terms = query_terms(queries, tokenizer)
+    terms = written(query_terms(queries, tokenizer))
     marker = queries.sparkSession.range(1).select(F.lit(DOCUMENT).alias("token"))
-    vocabulary = terms.select("token").unionByName(marker).distinct()
+    vocabulary = written(terms.select("token").unionByName(marker).distinct())
+    scores = docs.count() * terms.select("query_id").distinct().count()
+    parts = max(queries.sparkSession.sparkContext.defaultParallelism, -(-scores // SCORES))
     # explode_outer, because plain explode infers a filter that would tokenize every text again;
     # the array always holds the marker.
     placed = (
@@ -58,10 +61,10 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
         .select("doc_id", F.size("_t").alias("dl"), F.array_append("_t", DOCUMENT).alias("_t"))
         .select("doc_id", "dl", F.explode_outer("_t").alias("token"))
         .join(vocabulary, "token", "left_semi")
-        .repartition("doc_id")
+        .repartition(parts, "doc_id")
     )
     frequencies = materialize(placed.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")))
-    by_token = frequencies.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("_len"))
+    by_token = written(frequencies.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("_len")))
     document = F.col("token") == DOCUMENT
     corpus = by_token.agg(
         F.struct(
@@ -70,7 +73,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
         ).alias("c")
     ).scalar()
     idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(by_token, "token").select("query_id", "token", (F.col("qf") * idf).alias("weight"))
+    weights = written(terms.join(by_token, "token").select("query_id", "token", (F.col("qf") * idf).alias("weight")))
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / corpus["avg"]))
     return (
@@ -89,7 +92,7 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, tokenizer=T.tokens,
     scores = bm25_scores(queries, docs, tokenizer)
     if within is not None:
         scores = scores.join(within.select("doc_id"), "doc_id", "left_semi")
-    return top_per_key(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    return materialize(top_per_key(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k))  # callers read it more than once
 
 
 def with_extra_terms(extra) -> object:

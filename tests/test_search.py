@@ -38,6 +38,16 @@ def test_bm25_formula_and_empty_inputs(spark):
     assert K.bm25_top_k(q, d.limit(0), 5).isEmpty() and K.bm25_top_k(q.limit(0), d, 5).isEmpty()
 
 
+def test_bm25_shuffles_scores_not_terms(spark):
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") for _ in range(60))) for i in range(300)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") for _ in range(5))) for i in range(20)], "query_id long, text string")
+    plan = K.bm25_scores(queries, docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1  # the term table stays where it is
+    hits = K.bm25_top_k(queries, docs, 3)
+    assert "Aggregate" not in hits._jdf.queryExecution().executedPlan().toString() and hits.count() == 60  # ranked once, however often it is read
+
+
 def test_both_dense_plans_agree_with_brute_force(spark):
     rnd = random.Random(1)
     vectors = [[rnd.uniform(-1, 1) for _ in range(6)] for _ in range(150)]
