@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from hiregrain.functions import text as T
 from hiregrain.operators.keyword import K1, SCORE_DECIMALS, B, query_terms
 from hiregrain.plans.skew import top_per_key
-from hiregrain.session import materialize
+from hiregrain.session import materialize, written
 
 BLOCK = 64  # documents
 BUCKETS = 32  # folders of the term table, by token
@@ -120,14 +120,15 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 def write_index(docs: DataFrame, folder: str, tokenizer=T.tokens, k1: float = K1, b: float = B, block: int = BLOCK, buckets: int = BUCKETS) -> KeywordIndex:
     """Index ``doc_id`` and ``text``. Texts are read once; what is shuffled are terms with their counts, once, by token bucket."""
     spark = docs.sparkSession
-    tokens = tokenizer("text")
-    counted = docs.where("text is not null").select("doc_id", F.size(tokens).alias("dl"), term_counts(tokens).alias("terms"))
-    counted = materialize(counted)  # else every mention of the terms would count them anew
+    # Each step reads what the one before made more than once, so Spark keeps them apart and cuts every text into tokens once.
+    cut = docs.where("text is not null").select("doc_id", tokenizer("text").alias("tokens"))
+    counted = cut.select("doc_id", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("terms"))
     kind = F.struct(_most_frequent(F.col("terms")).alias("top"), F.floor(F.log2(F.col("dl") + 1)).cast("int").alias("magnitude"))
     counted.withColumn("kind", kind).write.mode("overwrite").parquet(f"{folder}/documents")
     counted = spark.read.parquet(f"{folder}/documents")
     average = counted.agg(F.avg("dl").alias("average_length")).scalar()
-    kinds = counted.groupBy("kind").agg(F.ceil(F.count("*") / block).alias("_blocks"))  # one row per token and magnitude at most
+    # One row per token and magnitude at most; written with its true size, or the documents would be shuffled by kind to meet it.
+    kinds = written(counted.groupBy("kind").agg(F.ceil(F.count("*") / block).alias("_blocks")))
     split = F.pmod(F.xxhash64("doc_id"), F.col("_blocks"))
     placed = counted.join(kinds, "kind").select("doc_id", "dl", F.xxhash64("kind", split).alias("block"), F.inline("terms"))
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / average)
