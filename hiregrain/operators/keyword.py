@@ -45,9 +45,11 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
 
     The corpus is tokenized once and only tokens that some query uses leave the scan. They are placed
     by document, in as many parts as keep a part's scores at about ``SCORES``, and counted into a term table that is
-    written out. A document's terms are in one part, so where the query side is shipped to them, sums are whole before
-    anything is shuffled and only scores are. Corpus statistics come from the same table through one extra token per
-    document. The query side is written with its true size; whether a join ships it is left to Spark's own threshold.
+    written out. What is written loses its placement, so the counted terms are dealt by document again, into the same
+    number of parts: where the query side is shipped to them, sums are made inside a part, no score is shuffled, and a
+    part holds about ``SCORES`` of them however many documents there are. Corpus statistics come from the same table
+    through one extra token per document. The query side is written with its true size; whether a join ships it is left
+    to Spark's own threshold.
     """
     terms = written(query_terms(queries, tokenizer))
     marker = queries.sparkSession.range(1).select(F.lit(DOCUMENT).alias("token"))
@@ -77,7 +79,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, tokenizer=T.tokens, k1: flo
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / corpus["avg"]))
     return (
-        frequencies.join(weights, "token")
+        frequencies.repartition(parts, "doc_id")
+        .join(weights, "token")
         .groupBy("doc_id", "query_id")
         .agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
         .select("query_id", "doc_id", "score")

@@ -48,6 +48,19 @@ def test_bm25_shuffles_scores_not_terms(spark):
     assert "Aggregate" not in hits._jdf.queryExecution().executedPlan().toString() and hits.count() == 60  # ranked once, however often it is read
 
 
+def test_bm25_sums_scores_where_the_terms_are(spark, monkeypatch):
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") for _ in range(40))) for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") for _ in range(4))) for i in range(10)], "query_id long, text string")
+    whole = {(r.query_id, r.doc_id): r.score for r in K.bm25_scores(queries, docs).collect()}
+    monkeypatch.setattr(K, "SCORES", 100)
+    scores = K.bm25_scores(queries, docs)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and ", 20), REPARTITION_BY_NUM" in exchanges[0]  # 2,000 scores in parts of 100, never shuffled
+    assert {(r.query_id, r.doc_id): r.score for r in scores.collect()} == whole
+
+
 def test_both_dense_plans_agree_with_brute_force(spark):
     rnd = random.Random(1)
     vectors = [[rnd.uniform(-1, 1) for _ in range(6)] for _ in range(150)]
