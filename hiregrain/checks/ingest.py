@@ -9,7 +9,7 @@ from hiregrain.checks.registry import check, collapse, fold
 from hiregrain.functions import text as T
 from hiregrain.operators import ingest as I
 from hiregrain.plans.graphs import keep_first_on_both
-from hiregrain.session import shared_folder
+from hiregrain.session import materialize, shared_folder
 from hiregrain.sources.files import json_fields
 from hiregrain.sources.json_list import read_json_list
 
@@ -164,11 +164,14 @@ KEPT = f"""{CLEANED}, hashed AS (SELECT *, {RAW_HASH} AS raw_hash FROM cleaned),
 prepared AS (SELECT * FROM hashed WHERE record_no IN (SELECT min(record_no) FROM hashed GROUP BY coalesce(source_url, raw_hash)))"""
 
 
+def hashed_documents(t):
+    cleaned = I.clean_records(raw_documents(t))
+    return cleaned.withColumn("raw_hash", I.raw_hash(cleaned)).select("record_no", "raw_hash", "source_url")
+
+
 @check(f"WITH {KEPT} SELECT record_no, raw_hash FROM prepared")
 def ingest_dedup(t):
-    cleaned = I.clean_records(raw_documents(t))
-    hashed = cleaned.withColumn("raw_hash", I.raw_hash(cleaned))
-    return I.drop_duplicates_on(hashed, None, "raw_hash").select("record_no", "raw_hash")
+    return I.drop_duplicates_on(hashed_documents(t), None, "raw_hash").select("record_no", "raw_hash")
 
 
 @check(f"""WITH {CLEANED}, hashed AS (SELECT *, {RAW_HASH} AS raw_hash FROM cleaned),
@@ -177,8 +180,7 @@ fresh AS (SELECT * FROM hashed WHERE raw_hash NOT IN (SELECT raw_hash FROM store
   AND (source_url IS NULL OR source_url NOT IN (SELECT source_url FROM stored WHERE source_url IS NOT NULL)))
 SELECT min(record_no) AS record_no FROM fresh GROUP BY coalesce(source_url, raw_hash)""")
 def ingest_dedup_against_stored(t):
-    cleaned = I.clean_records(raw_documents(t))
-    hashed = cleaned.withColumn("raw_hash", I.raw_hash(cleaned)).select("record_no", "raw_hash", "source_url")
+    hashed = materialize(hashed_documents(t))  # it stands on both sides
     return I.drop_duplicates_on(hashed, hashed.where("record_no % 4 = 0"), "raw_hash").select("record_no")
 
 

@@ -154,12 +154,22 @@ def without_stored(rows: DataFrame, stored: DataFrame | None, *keys: str) -> Dat
 
 
 def drop_duplicates_on(rows: DataFrame, stored: DataFrame | None, hash_key: str) -> DataFrame:
-    """Rows to keep in record order: neither hash nor url stored, nor claimed by an earlier kept row."""
+    """Rows to keep in record order: neither hash nor url stored, nor claimed by an earlier kept row.
+
+    Both sides are read once for their keys, which are written out: each of the passes over them would clean and hash
+    the texts again. Rows of nothing but keys are not read a second time.
+    """
+    from hiregrain.session import materialize
+
+    keys = ["record_no", hash_key, "source_url"]
     if stored is not None:
-        stored = stored.withColumn("source_url", canonical_url(F.col("source_url")))
+        stored = materialize(stored.select(hash_key, canonical_url(F.col("source_url")).alias("source_url")))
     rows = rows.withColumn("source_url", canonical_url(F.col("source_url")))
-    fresh = without_stored(rows, stored, hash_key, "source_url")
-    keep = keep_first_on_both(fresh.select("record_no", hash_key, "source_url"), "record_no", hash_key, "source_url")
+    claims = materialize(rows.select(*keys))
+    fresh = without_stored(claims, stored, hash_key, "source_url")
+    keep = keep_first_on_both(fresh, "record_no", hash_key, "source_url")
+    if set(rows.columns) != set(keys):
+        fresh = without_stored(rows, stored, hash_key, "source_url")
     return fresh.join(keep, "record_no", "left_semi").select(*rows.columns)
 
 

@@ -177,3 +177,21 @@ def test_taxonomy_files(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([["a", "b", "c"]]))
     with pytest.raises(Exception, match="two names"):
         S.read_pairs(spark, str(tmp_path / "c.json")).collect()
+
+
+def test_deduplication_reads_its_rows_once(spark):
+    """Cleaning and hashing are the costly part; the passes over the keys must not repeat them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def hashed(number):
+        made.add(1)
+        return f"h{number % 9}"
+
+    url = F.concat(F.lit("HTTP://Jobs.example/"), (F.col("id") % 7).cast("string"))
+    rows = spark.range(1, 41).select(F.col("id").alias("record_no"), hashed("id").alias("raw_hash"), url.alias("source_url"))
+    stored = spark.createDataFrame([("h3", "http://jobs.example/2")], "raw_hash string, source_url string")
+    kept = sorted(r.record_no for r in I.drop_duplicates_on(rows, stored, "raw_hash").collect())
+    fresh = [(i, f"h{i % 9}", f"u{i % 7}") for i in range(1, 41) if i % 9 != 3 and i % 7 != 2]
+    assert kept == greedy(fresh)
+    assert made.value == 40
