@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hiregrain.functions import text as T
 from hiregrain.operators.ingest import assign_ids
 from hiregrain.plans.skew import first_per_key
-from hiregrain.session import materialize
+from hiregrain.session import written
 
 EXTRACTED, CURATED = "extracted", "curated"
 
@@ -41,7 +41,7 @@ def resolve(claims: DataFrame, known: DataFrame, name: str = "name") -> DataFram
 def claimed_skills(postings: DataFrame, job: str, evidence: str) -> DataFrame:
     """One row per claimed skill with ``mentioned``: is its own spelling in the evidence text.
 
-    The test runs inside the posting's row, so the text is folded once and never copied per skill.
+    The test runs inside the posting's row, so the text is cut into words once and never copied per skill.
     """
     def claims(column: str, kind: str, rank: int) -> Column:
         return F.transform(
@@ -53,14 +53,13 @@ def claimed_skills(postings: DataFrame, job: str, evidence: str) -> DataFrame:
 
     listed = F.concat(claims("required_skills", "required", 0), claims("preferred_skills", "preferred", 1))
     kept = F.filter(listed, lambda c: (c["name"] != "") & (F.length(c["name"]) <= T.MAX_SKILL_CHARS))
-    folded = F.coalesce(T.casefold(T.collapse(evidence)), F.lit(""))
-    tested = T.let(
-        T.spaced(folded),
-        lambda text: F.transform(kept, lambda c: F.struct(c.alias("c"), F.contains(text, T.spaced(T.casefold(c["name"]))).alias("mentioned"))),
-    )
-    return postings.select(F.col(job).alias("job_id"), F.explode_outer(tested).alias("_t")).where("_t is not null").select(
-        "job_id", "_t.c.*", "_t.mentioned"
+    # Each step reads what the one before made more than once, so Spark keeps them apart.
+    folded = postings.select(F.col(job).alias("job_id"), F.col(evidence).alias("_text"), kept.alias("_kept")).select(
+        "job_id", "_text", "_kept", F.transform("_kept", lambda c: T.casefold(c["name"])).alias("_folded")
     )
+    said = folded.select("job_id", "_kept", "_folded", T.named_among("_text", F.array_distinct("_folded")).alias("_said"))
+    tested = F.transform("_kept", lambda c, i: F.struct(c.alias("c"), F.array_contains(F.col("_said"), F.get("_folded", i)).alias("mentioned")))
+    return said.select("job_id", F.explode_outer(tested).alias("_t")).where("_t is not null").select("job_id", "_t.c.*", "_t.mentioned")
 
 
 @dataclass
@@ -84,48 +83,50 @@ def normalize_skills(
     Names without a skill become extracted skills when they are short and mentioned; the first
     spelling in record order is canonical. In strict mode they are only reported.
     """
-    claims = materialize(claimed_skills(postings, job, evidence))
-    known = lookup(skills, aliases)
-    found = resolve(claims, known)
-    candidates = found.where(F.col("skill_id").isNull() & F.col("mentioned") & short_enough())
+    # Keys are made once per name. Tables are written with their true sizes: where names are few, no claim is shuffled to meet them.
+    claims = written(claimed_skills(postings, job, evidence))
+    names = claims.select("name").distinct().select("name", T.match_key("name").alias("key"), short_enough().alias("_short"))
+    names = written(names.join(lookup(skills, aliases), "key", "left"))
+    candidates = claims.where("mentioned").join(names.where("skill_id is null and _short").select("name", "key"), "name")
     order = ["job_id", "type_rank", "pos"]
     if create_missing:
         first = first_per_key(candidates.select("key", "name", *order), ["key"], order)
-        created = assign_ids(first, skills, order)
+        created = written(assign_ids(first, skills, order))
     else:
         created = candidates.limit(0).select("key", "name", *order).withColumn("id", F.lit(None).cast("long"))
     new_skills = created.select(
         "id", F.col("name").alias("canonical_name"), F.lit(None).cast("string").alias("category"), F.lit(EXTRACTED).alias("origin")
     )
     start = F.struct(*order)
-    extended = known.withColumn("_from", F.lit(None).cast(created.select(start.alias("s")).schema["s"].dataType)).unionByName(
-        created.select("key", F.col("id").alias("skill_id"), start.alias("_from"))
-    )
+    since = created.select("key", F.col("id").alias("_created"), start.alias("_from"))
+    owned = written(names.join(since, "key", "left").select("name", F.coalesce("skill_id", "_created").alias("skill_id"), "_from").where("skill_id is not null"))
     # A created skill exists from the record that created it onwards.
-    resolved = resolve(claims, extended).where(
-        F.col("skill_id").isNotNull() & (F.col("_from").isNull() | (start >= F.col("_from")))
-    )
-    named = resolved.where("mentioned")
+    resolved = claims.join(owned, "name").where(F.col("_from").isNull() | (start >= F.col("_from")))
+    # The first of a posting's claims of a skill gives the link. A claim not spelled in its own text counts if the text holds
+    # another spelling of the skill; that is the same for all claims of the skill, and only asked where one comes first.
+    claim = F.struct("type_rank", "pos", "requirement_type", "name")
+    numbered = resolved.where("job_id is not null and skill_id is not null")  # as the joins below infer, so that both read one shuffle
+    firsts = numbered.groupBy("job_id", "skill_id").agg(F.min(claim).alias("first"), F.min(F.when(F.col("mentioned"), claim)).alias("own"))
+    open_ones = F.col("own").isNull() | (F.col("own") != F.col("first"))
     other = wordings(skills.select("id", "canonical_name").unionByName(new_skills.select("id", "canonical_name")), aliases)
-    # Only claims not spelled in their own text look at the other spellings of their skill.
-    # A posting's text meets all of these once, as one list, and is folded once.
-    claim = F.struct(*[F.col(c) for c in named.columns if c != "job_id"])
-    wordings_of = other.select("skill_id", T.spaced(T.casefold(T.collapse("name"))).alias("_needle"))
+    spellings = written(other.groupBy("skill_id").agg(F.collect_set(T.casefold(T.collapse("name"))).alias("_spellings")))
+    # A posting's text meets all of its open skills once, as one list, and is cut into words once.
     asked = (
-        resolved.where(~F.col("mentioned")).join(wordings_of, "skill_id")
-        .groupBy("job_id").agg(F.collect_list(F.struct(claim.alias("claim"), "_needle")).alias("_asked"))
+        firsts.where(open_ones).join(spellings, "skill_id")
+        .groupBy("job_id").agg(F.collect_list(F.struct("skill_id", "first", "own", "_spellings")).alias("_asked"))
+    )
+    said = asked.join(postings.select(F.col(job).alias("job_id"), F.col(evidence).alias("_text")), "job_id").select(
+        "job_id", "_asked", T.named_among("_text", F.array_distinct(F.flatten("_asked._spellings"))).alias("_said")
     )
-    text = F.coalesce(T.casefold(T.collapse(evidence)), F.lit(""))
-    held = F.filter("_asked", lambda a: F.contains(F.col("_spaced"), a["_needle"]))
-    reworded = (
-        asked.join(postings.select(F.col(job).alias("job_id"), T.spaced(text).alias("_spaced")), "job_id")
-        .select("job_id", F.explode(held).alias("_h")).select("job_id", "_h.claim.*").select(*named.columns)
+    held = lambda a: F.arrays_overlap(F.col("_said"), a["_spellings"])
+    decided = F.transform("_asked", lambda a: F.struct(a["skill_id"], F.when(held(a), a["first"]).otherwise(a["own"]).alias("claim")))
+    # A posting that is there twice has two texts.
+    reworded = said.select("job_id", F.explode(decided).alias("_d")).select("job_id", "_d.*").groupBy("job_id", "skill_id").agg(F.min("claim").alias("claim"))
+    unnumbered = resolved.where("job_id is null and mentioned").groupBy("job_id", "skill_id").agg(F.min(claim).alias("claim"))
+    links = (
+        firsts.where(~open_ones).select("job_id", "skill_id", F.col("own").alias("claim")).unionByName(reworded).unionByName(unnumbered)
+        .where("claim is not null").select("job_id", "skill_id", "claim.requirement_type", F.col("claim.name").alias("evidence_text"))
     )
-    links = first_per_key(
-        named.unionByName(reworded).select("job_id", "skill_id", "type_rank", "pos", "requirement_type", F.col("name").alias("evidence_text")),
-        ["job_id", "skill_id"],
-        ["type_rank", "pos"],
-    ).drop("type_rank", "pos")
     unknown = candidates.select("job_id", "name").distinct()
     return NormalizedSkills(links, new_skills, unknown if not create_missing else unknown.limit(0))
 

@@ -75,6 +75,42 @@ def test_normalization_rules(spark):
     ]
 
 
+def test_normalization_asks_a_text_only_for_skills_whose_first_claim_it_does_not_hold(spark):
+    skills = spark.createDataFrame([(1, "Python", None, "curated"), (2, "C++", None, "curated"), (3, "node.js", None, "curated"), (4, "Go", None, "curated")], SKILLS)
+    aliases = spark.createDataFrame([(1, "py", "curated", None, None), (2, "cpp", "curated", None, None), (3, "node js", "curated", None, None), (4, "golang", "curated", None, None)], ALIASES)
+    postings = spark.createDataFrame(
+        [
+            (1, ["py", "Python"], ["cpp"], "Python; C++."),  # 1: the first claim is another spelling of what the text holds
+            (2, ["node js", "go"], [], "Node.js and gopher"),
+            (3, ["C++"], ["C++ ", None, ""], "c+ +"),
+            (4, ["golang", "Rust  Lang"], ["rust lang"], "we say rust lang, go"),
+            (4, ["golang"], ["py"], "python"),  # the same posting again with another text
+            (None, ["py", "go"], ["python"], "python, go"),
+            (5, None, ["go"], None),
+        ],
+        "record_no long, required_skills array<string>, preferred_skills array<string>, evidence string",
+    )
+    got = X.normalize_skills(postings, skills, aliases)
+    assert [(r.id, r.canonical_name) for r in got.new_skills.collect()] == [(5, "Rust Lang")]
+    assert sorted((r.job_id or 0, r.skill_id, r.requirement_type, r.evidence_text) for r in got.links.collect()) == [
+        (0, 1, "preferred", "python"), (0, 4, "required", "go"),
+        (1, 1, "required", "py"), (1, 2, "preferred", "cpp"),
+        (2, 3, "required", "node js"),
+        (4, 1, "preferred", "py"), (4, 4, "required", "golang"), (4, 5, "required", "Rust Lang"),
+    ]
+
+
+def test_normalization_shuffles_no_claim_to_meet_few_names(spark):
+    skills = spark.createDataFrame([(1, "Python", None, "curated")], SKILLS)
+    aliases = spark.createDataFrame([(1, "py", "curated", None, None)], ALIASES)
+    postings = spark.createDataFrame([(i, ["py"], ["Python"], "python") for i in range(50)], "record_no long, required_skills array<string>, preferred_skills array<string>, evidence string")
+    links = X.normalize_skills(postings, skills, aliases).links
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(name" in line or "Exchange hashpartitioning(key" in line]
+    assert not exchanges and "Exchange hashpartitioning(job_id" in plan
+    assert sorted((r.job_id, r.evidence_text) for r in links.collect()) == [(i, "py") for i in range(50)]
+
+
 def test_nearest_equals_brute_force(spark):
     names = ["javascript", "postgre", "kubernets", "reactnative", "pyton"]
     known = ["JavaScript", "Java", "PostgreSQL", "MySQL", "Kubernetes", "React", "React Native", "Python", "PyTorch", "Go", "Docker", "SQL"]

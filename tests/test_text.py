@@ -111,3 +111,13 @@ def test_chunker_keeps_header_and_short_documents(spark):
     long = "Title: x" + D.DESCRIPTION + " ".join(f"s{i}." for i in range(50))
     got = column(spark, [long, "plain text"], D.chunks(max_words=20, overlap=5, max_chunks=2))
     assert len(got[0]) == 2 and all(c.startswith("Title: x" + D.DESCRIPTION) for c in got[0]) and got[1] == ["plain text"]
+
+
+def test_phrases_named_in_a_text(spark):
+    phrases = ["python", "c++", "node.js", "go", "big data", "", "straße"]
+    texts = ["Python, C++", "c+ + and Node.JS!", "gopher GO", "big  data", None, "STRASSE"]
+    rows = spark.createDataFrame([(i, t, phrases) for i, t in enumerate(texts)], "id int, t string, p array<string>")
+    folded = F.transform("p", lambda x: T.casefold(x))
+    each = rows.select("id", "t", F.explode(folded).alias("p")).where(T.mentions("t", "p")).collect()
+    got = {(r.id, p) for r in rows.select("id", T.named_among("t", folded).alias("n")).collect() for p in r.n}
+    assert got == {(r.id, r.p) for r in each} and {(0, "c++"), (1, "node.js"), (2, "go"), (3, "big data"), (5, "strasse")} <= got
