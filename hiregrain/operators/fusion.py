@@ -89,8 +89,8 @@ def rerank_by_score(candidates: DataFrame, scores: DataFrame) -> DataFrame:
 def rerank_by_overlap(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Score candidates by the number of distinct query words in the document; ties by id."""
     wanted = queries.select("query_id", F.array_distinct(T.words("text")).alias("_q"))
-    # A document's words are reduced to its distinct set before they travel.
-    present = docs.select("doc_id", F.array_distinct(T.words("text")).alias("_d"))
+    # Only candidates are cut into words; a document's words are reduced to its distinct set before they travel.
+    present = docs.join(candidates.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.array_distinct(T.words("text")).alias("_d"))
     scored = (
         candidates.select("query_id", "doc_id")
         .join(wanted, "query_id")

@@ -91,11 +91,12 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, tokenizer=T.tokens,
     """Best ``k`` documents per query: score down, id up. No tokens or no documents, no rows.
 
     With ``within`` (``doc_id``) only those documents are ranked; corpus statistics stay those of all documents.
+    The hits are written with their true size, as callers read them more than once and join them with texts, which then need no shuffle.
     """
     scores = bm25_scores(queries, docs, tokenizer)
     if within is not None:
         scores = scores.join(within.select("doc_id"), "doc_id", "left_semi")
-    return materialize(top_per_key(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k))  # callers read it more than once
+    return written(top_per_key(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k))
 
 
 def with_extra_terms(extra) -> object:

@@ -61,6 +61,18 @@ def test_bm25_sums_scores_where_the_terms_are(spark, monkeypatch):
     assert {(r.query_id, r.doc_id): r.score for r in scores.collect()} == whole
 
 
+def test_texts_are_not_shuffled_to_meet_the_hits(spark, tmp_path):
+    rows = [(i, " ".join("abcdefgh"[(i * k) % 8] for k in range(1, 30)), 0, f"p{i}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, chunk_no int, passage string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    queries = spark.createDataFrame([(i, "abcdefgh"[i]) for i in range(8)], "query_id long, text string")
+    hits = K.bm25_top_k(queries, docs, 3)
+    for found, left in ((R.passage_pairs(hits, docs), 0), (R.rerank_by_overlap(hits, queries, docs), 1)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == left  # the ranking's alone
+        assert {(r.query_id, r.doc_id) for r in found.collect()} == {(r.query_id, r.doc_id) for r in hits.collect()}
+
+
 def test_both_dense_plans_agree_with_brute_force(spark):
     rnd = random.Random(1)
     vectors = [[rnd.uniform(-1, 1) for _ in range(6)] for _ in range(150)]
