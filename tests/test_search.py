@@ -62,15 +62,23 @@ def test_bm25_sums_scores_where_the_terms_are(spark, monkeypatch):
 
 
 def test_texts_are_not_shuffled_to_meet_the_hits(spark, tmp_path):
-    rows = [(i, " ".join("abcdefgh"[(i * k) % 8] for k in range(1, 30)), 0, f"p{i}") for i in range(200)]
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(30)), 0, f"p{rnd.random()}") for i in range(2000)]
     spark.createDataFrame(rows, "doc_id long, text string, chunk_no int, passage string").write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
     queries = spark.createDataFrame([(i, "abcdefgh"[i]) for i in range(8)], "query_id long, text string")
-    hits = K.bm25_top_k(queries, docs, 3)
-    for found, left in ((R.passage_pairs(hits, docs), 0), (R.rerank_by_overlap(hits, queries, docs), 1)):
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == left  # the ranking's alone
-        assert {(r.query_id, r.doc_id) for r in found.collect()} == {(r.query_id, r.doc_id) for r in hits.collect()}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # more than the hits' size, less than the texts'
+    try:
+        hits = K.bm25_top_k(queries, docs, 3)
+        pairs, reranked = R.passage_pairs(hits, docs), R.rerank_by_overlap(hits, queries, docs)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert "BroadcastHashJoin [doc_id" in (plan := reranked._jdf.queryExecution().executedPlan().toString()) and "LeftSemi, BuildRight" in plan
+        for found in (pairs, reranked):
+            assert {(r.query_id, r.doc_id) for r in found.collect()} == {(r.query_id, r.doc_id) for r in hits.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_both_dense_plans_agree_with_brute_force(spark):
