@@ -202,7 +202,8 @@ def _node_links(values: DataFrame, sets: list[tuple[int, ...]], agreeing: int, m
     """``(node, key)``: links that connect what all links between the fingerprints ``values`` (``node``, ``bits``) connect."""
     postings = _postings(values, sets)
     lists = postings.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-    met = postings.join(lists, "key")  # Spark splits a long list's partition when it joins
+    # Spark sizes the postings as if a fingerprint had one, and would broadcast them. Merged, a long list's partition is split.
+    met = postings.join(lists.hint("merge"), "key")
     blocks = F.ceil(F.col("_n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     met = met.select("key", "node", blocks.alias("_blocks")).withColumn("_own", own).join(values.select("node", "bits"), "node")

@@ -210,6 +210,12 @@ def test_any_guaranteed_positions_hold_a_key():
         assert all(any(set(s) <= set(c) for s in sets) for c in combinations(range(8), agreeing))
 
 
+def test_postings_are_not_broadcast(spark):
+    values = spark.range(200).select(F.col("id").alias("node"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("bits"))
+    plan = simhash._node_links(values, simhash.position_sets(4, 3), 4, 4, 4_096)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan  # 23 postings a fingerprint, sized as one
+
+
 def test_similar_documents_by_shingles(spark):
     rng = random.Random(2)
     base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)) for _ in range(30)]
