@@ -19,11 +19,14 @@ def _matrix(values: pd.Series) -> np.ndarray:
 
 
 def score_cosine(queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best items per query (ties at the edge kept) from one matrix product."""
+    """The ``k`` best items per query (ties at the edge kept) from one matrix product; none far below a query's ``floor``, if it has one."""
     if items.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
     scores = _matrix(queries["value"]) @ _matrix(items["value"]).T
-    if scores.shape[1] > k:
+    floor = queries["floor"].to_numpy(np.float64) if "floor" in queries else np.full(len(queries), -np.inf)
+    if np.isfinite(floor).all():
+        rows, cols = np.nonzero(scores >= floor[:, None] - 1e-9)
+    elif scores.shape[1] > k:
         edge = np.partition(scores, -k, axis=1)[:, -k]
         rows, cols = np.nonzero(scores >= edge[:, None] - 1e-9)
     else:

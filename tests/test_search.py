@@ -230,3 +230,26 @@ def test_registered_passages_hold_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     passages = [r.passage for r in QUERIES["search_passages"](spark, str(tmp_path)).collect()]
     assert set(text.split()) <= {w for p in passages for w in p.split()}
+
+
+def test_no_copy_of_a_block_is_shuffled(spark, monkeypatch):
+    from hiregrain.plans import blocks
+
+    rnd = random.Random(8)
+    rows = [(i, [rnd.choice([-1.0, 0.5, 1.0]) + i % 3 for _ in range(4)]) for i in range(300)] + [(7, [1.0, 1.0, 1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    queries = vectors.withColumnRenamed("doc_id", "query_id")
+    crossed = []
+    monkeypatch.setattr(blocks, "written", lambda df: crossed.append(df) or df)
+    whole = {tuple(r) for r in D.dense_top_k(queries, vectors, 5).collect()}
+    one, two = (F.col("embedding").alias("value"), blocks.best_matches)
+    parts = two(queries.select("query_id", one), vectors.select(F.col("doc_id").alias("item_id"), one), D.score_cosine, 5, 9, query_bytes=500, item_bytes=900)
+    assert {tuple(r) for r in parts.collect()} == whole
+    plan = crossed[1]._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "CartesianProduct" in final and final.count(" Exchange ") == 1 and "CoGroup" not in final  # that of the results, by query
+    lengths = [math.sqrt(sum(x * x for x in v)) for _, v in rows]
+    for at in (0, 41, 300):
+        cosine = sorted((-round(sum(x * y for x, y in zip(rows[at][1], v)) / lengths[at] / n, 9), i) for (i, v), n in zip(rows, lengths))
+        if rows[at][0] != 7:
+            assert [(r[1], r[3]) for r in sorted(whole, key=lambda r: r[3]) if r[0] == rows[at][0]] == [(i, rank) for rank, (_, i) in enumerate(cosine[:5], 1)]
