@@ -160,3 +160,14 @@ def test_learn_then_revert(spark):
         [(1, own, "MS Excel"), (2, 1, "Excel"), (3, 1, "excel"), (3, own, "MS Excel")]
     )
     assert reverted.decisions.first().decision == "rejected" and reverted.aliases.isEmpty()
+
+
+def test_numbers_of_links_of_high_orders(spark, tmp_path):
+    from hiregrain.checks.registry import Tables
+
+    rows = [(1, 2, 3, 4), (54_000_000, 1, 7_200_000, 360_000), (54_000_000, 2, 1, 1), (216_000_000, 1, 1, 1), (9, 1, None, 1)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    lines.selectExpr("*", "'R' as l_returnflag", "'O' as l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    ids = {(r.job_id, r.skill_id): r.id for r in Tables(spark, str(tmp_path)).job_skills.collect()}
+    assert ids[1, 3] == (10 * 1_000_000 + 3) * 100_000 + 4 and ids[9, None] is None  # as before, where it fits
+    assert ids[54_000_000, 7_200_000] < ids[54_000_000, 1] < ids[216_000_000, 1] < 0
