@@ -77,3 +77,26 @@ def test_an_index_that_was_not_finished_is_none(spark, tmp_path):
 def test_counts_in_a_row(spark):
     row = spark.range(1).select(X.term_counts(F.array(*[F.lit(x) for x in ("b", "a", "b", "c", "b")])).alias("t"), X.term_counts(F.array().cast("array<string>")).alias("e")).first()
     assert [tuple(x) for x in row.t] == [("a", 1), ("b", 3), ("c", 1)] and row.e == []
+
+
+def test_scores_are_summed_where_the_postings_are(spark, tmp_path):
+    rng = random.Random(9)
+    rows = list(enumerate(texts(rng, 200))) + [(3, "a1 a1 a2"), (3, "b1 the the the"), (5, "c9"), (5, "c9")]  # ids repeated, with other texts
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts(rng, 12))] + [(50, "a1 b1 c9 the")], "query_id long, text string")
+    index = X.write_index(frame, str(tmp_path / "i"), block=8, buckets=4)
+    blocks = index.postings().select("block", F.explode("entries").alias("e")).select("block", "e.doc_id").distinct().groupBy("doc_id").count()
+    assert blocks.where("count > 1").isEmpty()
+    weights, bounds, *_ = index.plan(asked, 5)
+    scores = index.scores(bounds, weights, frame.where("doc_id < 150"))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query_id" not in plan and "Exchange hashpartitioning(doc_id" not in plan
+    n, average, df = len(rows), sum(len(t.split()) for _, t in rows) / len(rows), Counter(w for _, t in rows for w in set(t.split()))
+    want = Counter()
+    for q, text in ((r.query_id, r.text) for r in asked.collect()):
+        for d, own in rows:
+            for w, tf in Counter(own.split()).items():
+                if w in text.split() and d < 150:
+                    want[q, d] += text.split().count(w) * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own.split()) / average))
+    got = {(r.query_id, r.doc_id): r.score for r in scores.collect()}
+    assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key]) for key in got)
